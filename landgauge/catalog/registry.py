@@ -48,6 +48,7 @@ def query(name: str, sql: str | None = None):
 
 MODULES = (
     "prices",
+    "clean",
 )
 
 
