@@ -49,6 +49,8 @@ def query(name: str, sql: str | None = None):
 MODULES = (
     "prices",
     "clean",
+    "classify",
+    "ranking",
 )
 
 
