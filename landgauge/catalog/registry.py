@@ -51,6 +51,7 @@ MODULES = (
     "clean",
     "classify",
     "ranking",
+    "geometry",
 )
 
 
