@@ -52,6 +52,7 @@ MODULES = (
     "classify",
     "ranking",
     "geometry",
+    "joins",
 )
 
 

@@ -143,7 +143,7 @@ def nearest(
         .agg(F.sum("_n").alias("_n"))
     )
     ax, ay = F.col(a_xy[0]), F.col(a_xy[1])
-    seeds = a.select(a_key, ax.alias("_ax"), ay.alias("_ay")).withColumn("_hx", F.floor(ax / base)).withColumn("_hy", F.floor(ay / base))
+    seeds = a.select(a_key, ax.alias("_ax"), ay.alias("_ay")).withColumn("_hx", F.floor(F.col("_ax") / base)).withColumn("_hy", F.floor(F.col("_ay") / base))
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     homes = (
         seeds.select("_hx", "_hy").distinct()
