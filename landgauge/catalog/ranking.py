@@ -104,7 +104,7 @@ def w08(t):
 )
 def w09(t):
     ev = t.events.select("user_id", "event_id", "event_type")
-    both = next_rows(next_rows(ev, ["user_id"], "event_id", "event_id", ["event_type"]), ["user_id"], "event_id", "event_id", ["event_type"], "prev_", back=True)
+    both = next_rows(ev, ["user_id"], "event_id", "event_id", ["event_type"], ("next", "prev"))
     kept = F.col("prev_event_type").isNull() | (F.col("prev_event_type") != F.col("event_type"))
     return both.filter(kept).drop("prev_event_type")
 

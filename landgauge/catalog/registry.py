@@ -53,6 +53,7 @@ MODULES = (
     "ranking",
     "geometry",
     "joins",
+    "aggregates",
 )
 
 

@@ -223,28 +223,32 @@ def next_rows(
     order: str,
     tie: str,
     cols: Sequence[str],
-    prefix: str = "next_",
-    back: bool = False,
+    sides: Sequence[str] = ("next",),
 ) -> DataFrame:
-    """lead() (or lag() with `back`) per key; hot keys are cut into order ranges."""
+    """Adds next_<col> (lead) and/or prev_<col> (lag) per key; hot keys are cut into order ranges.
+
+    Ask for both sides in one call: every call reads its input again to size the keys.
+    """
     keys = list(keys)
     cut = cut_hot(df, keys, order)
     payload = F.struct(*[F.col(c) for c in cols])
     w = Window.partitionBy(*keys, "_rng").orderBy(order, tie)
-    step = F.lag if back else F.lead
-    edge = F.max_by if back else F.min_by
+    at = F.struct(order, tie)
     edges = (
         cut.filter(F.col("_rng").isNotNull())
         .groupBy(*keys, "_rng")
-        .agg(edge(payload, F.struct(order, tie)).alias("_edge"))
+        .agg(F.min_by(payload, at).alias("_head"), F.max_by(payload, at).alias("_tail"))
     )
     by_range = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_rng")
-    across = edges.select(*keys, "_rng", step("_edge").over(by_range).alias("_across"))
-    return (
-        join_offsets(cut.withColumn("_in", step(payload).over(w)), across, keys)
-        .withColumn("_n", F.coalesce("_in", "_across"))
-        .select(*df.columns, *[F.col(f"_n.{c}").alias(f"{prefix}{c}") for c in cols])
+    across = edges.select(
+        *keys, "_rng", F.lead("_head").over(by_range).alias("_across_next"), F.lag("_tail").over(by_range).alias("_across_prev")
+    )
+    steps = {"next": F.lead, "prev": F.lag}
+    inside = cut.withColumns({f"_in_{s}": steps[s](payload).over(w) for s in sides})
+    joined = join_offsets(inside, across, keys).withColumns(
+        {f"_{s}": F.coalesce(f"_in_{s}", f"_across_{s}") for s in sides}
     )
+    return joined.select(*df.columns, *[F.col(f"_{s}.{c}").alias(f"{s}_{c}") for s in sides for c in cols])
 
 
 def running_total(

@@ -78,10 +78,13 @@ def catchment_totals(
     )
     spots = spots.withColumn("_cx", cell_of(F.col("_px"), cell)).withColumn("_cy", cell_of(F.col("_py"), cell))
     ox, oy = F.col(o_xy[0]), F.col(o_xy[1])
-    probe = origins.select(key, ox.alias("_ox"), oy.alias("_oy")).withColumn(
-        "_c", F.explode(_around(F.col("_ox"), F.col("_oy"), cell, split + 1))
+    span = F.array(*[F.lit(i) for i in range(-split - 1, split + 2)])
+    probe = (
+        origins.select(key, ox.alias("_ox"), oy.alias("_oy"), F.explode(span).alias("_i"))
+        .withColumn("_cx", cell_of(F.col("_ox"), cell) + F.col("_i"))
+        .withColumn("_i", F.explode(span))
+        .withColumn("_cy", cell_of(F.col("_oy"), cell) + F.col("_i"))
     )
-    probe = probe.select(key, "_ox", "_oy", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
 
     def axis_gap(o: str, c: str) -> tuple[Column, Column]:
         lo, hi = F.col(c) * cell, (F.col(c) + 1) * cell
