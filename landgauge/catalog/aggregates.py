@@ -305,7 +305,7 @@ def a32(t):
  q as (select boundary, plan, sr, adopted, case when hr then required end as required, case when hr then allocated end as allocated, case when hr then committed end as committed, case when hr then windfall end as windfall, hr from p),
  b as (select * from q qualify row_number() over (partition by boundary order by (required is not null and allocated is not null and committed is not null) desc, hr desc, sr desc, adopted desc, plan desc)=1),
  e as (select l_orderkey as plan, max_by(l_returnflag, (l_shipdate, l_returnflag)) as last_event from lineitem group by 1)
- select boundary, plan, last_event, case when required is not null then allocated+committed+coalesce(windfall,0) end as supply, case when allocated is not null then greatest(0, required-(allocated+committed+coalesce(windfall,0))) end as gap,
+ select boundary, plan, last_event, case when required is not null then allocated+committed+coalesce(windfall,0) end as supply, case when allocated is not null and required is not null then greatest(0, required-(allocated+committed+coalesce(windfall,0))) end as gap,
  case when required>0 then round(100.0*(allocated+committed+coalesce(windfall,0))/required,1) end as pct_met, round(date_diff('day', adopted, date '2001-01-01')/365.25,1) as plan_age_yrs,
  case when required is not null and allocated is not null and committed is not null then 'has_numbers' when coalesce(required,allocated,committed,windfall) is not null then 'partial_supply' else 'plan_only' end as status from b left join e using (plan)""",
 )

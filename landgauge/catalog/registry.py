@@ -54,6 +54,7 @@ MODULES = (
     "geometry",
     "joins",
     "aggregates",
+    "filters",
 )
 
 
