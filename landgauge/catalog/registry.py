@@ -55,6 +55,7 @@ MODULES = (
     "joins",
     "aggregates",
     "filters",
+    "sources",
 )
 
 
