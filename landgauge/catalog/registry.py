@@ -56,6 +56,7 @@ MODULES = (
     "aggregates",
     "filters",
     "sources",
+    "graphs",
 )
 
 

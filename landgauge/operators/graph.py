@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,28 +55,239 @@ def shortest_times(
     only the edges of nodes improved in the last round and stops when no node
     improves by more than eps.
     """
-    dist = cut_lineage(sources.groupBy("node").agg(F.min(F.col("dist").cast("double")).alias("dist")))
-    frontier = dist
+    state = cut_lineage(
+        sources.groupBy("node").agg(F.min(F.col("dist").cast("double")).alias("dist")).withColumn("fresh", F.lit(True))
+    )
     for _ in range(max_rounds):
         reached = (
-            frontier.join(edges, F.col("node") == F.col("u"))
-            .groupBy(F.col("v").alias("node"))
-            .agg(F.min(F.col("dist") + F.col("cost")).alias("cand"))
+            state.filter("fresh")
+            .join(edges, F.col("node") == F.col("u"))
+            .select(F.col("v").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.lit(True).alias("fresh"))
         )
         if limit is not None:
-            reached = reached.filter(F.col("cand") <= limit)
-        better = reached.join(dist, "node", "left").filter(
-            F.col("dist").isNull() | (F.col("cand") < F.col("dist") - eps)
+            reached = reached.filter(F.col("dist") <= limit)
+        old = F.min(F.when(~F.col("fresh"), F.col("dist")))
+        new = F.min(F.when(F.col("fresh"), F.col("dist")))
+        merged = (
+            state.withColumn("fresh", F.lit(False)).unionByName(reached).groupBy("node").agg(old.alias("_old"), new.alias("_new"))
+        )
+        better = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new") < F.col("_old") - eps))
+        state = cut_lineage(
+            merged.select("node", F.when(better, F.col("_new")).otherwise(F.col("_old")).alias("dist"), better.alias("fresh"))
         )
-        frontier = cut_lineage(better.select("node", F.col("cand").alias("dist")))
-        if frontier.isEmpty():
+        if state.filter("fresh").isEmpty():
             break
-        dist = cut_lineage(
-            dist.join(frontier.select("node", F.col("dist").alias("_new")), "node", "full").select(
-                "node", F.coalesce("_new", "dist").alias("dist")
-            )
+    return state.select("node", "dist")
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """origin, node, dist, prev, edge: shortest path trees of many origins at once.
+
+    `edges` u, v, cost, edge; `starts` origin, node, limit (longest path worth following).
+    """
+    state = cut_lineage(
+        starts.select(
+            "origin", "node", F.lit(0.0).alias("dist"), F.lit(None).cast(dict(edges.dtypes)["u"]).alias("prev"),
+            F.lit(None).cast(dict(edges.dtypes)["edge"]).alias("edge"), "limit", F.lit(True).alias("fresh"),
+        )
+    )
+    for _ in range(max_rounds):
+        step = (
+            state.filter("fresh")
+            .select("origin", F.col("node").alias("u"), F.col("dist").alias("_d"), "limit")
+            .join(edges, "u")
+            .filter(F.col("_d") + F.col("cost") <= F.col("limit"))
+            .select("origin", F.col("v").alias("node"), (F.col("_d") + F.col("cost")).alias("dist"), F.col("u").alias("prev"), "edge", "limit", F.lit(True).alias("fresh"))
+        )
+        # an equal length keeps the path found first, then the lower edge
+        best = F.struct("dist", "fresh", "edge")
+        state = cut_lineage(
+            state.withColumn("fresh", F.lit(False))
+            .unionByName(step)
+            .groupBy("origin", "node")
+            .agg(F.min_by(F.struct("dist", "prev", "edge", "limit", "fresh"), best).alias("_b"))
+            .select("origin", "node", "_b.*")
+        )
+        if state.filter("fresh").isEmpty():
+            break
+    return state.drop("limit", "fresh")
+
+
+def route_pairs(edges: DataFrame, pairs: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """a, b, edge for every edge on the shortest a-b path no longer than `limit`.
+
+    `pairs` a, b, limit. Paths are walked back from b one join per round.
+    """
+    starts = pairs.groupBy(F.col("a").alias("origin")).agg(F.max("limit").alias("limit")).withColumn("node", F.col("origin"))
+    tree = shortest_paths(edges, starts, max_rounds)
+    at = cut_lineage(
+        pairs.filter("a <> b")
+        .join(tree.select(F.col("origin").alias("a"), F.col("node").alias("b"), "dist", "prev", "edge"), ["a", "b"])
+        .filter(F.col("dist") <= F.col("limit"))
+        .select("a", "b", "prev", "edge")
+    )
+    steps = tree.select(F.col("origin").alias("a"), F.col("node").alias("prev"), F.col("prev").alias("_before"), F.col("edge").alias("_edge"))
+    walked = at.select("a", "b", "edge")
+    for _ in range(max_rounds):
+        at = cut_lineage(
+            at.filter(F.col("prev") != F.col("a")).join(steps, ["a", "prev"]).select("a", "b", F.col("_before").alias("prev"), F.col("_edge").alias("edge"))
+        )
+        if at.isEmpty():
+            break
+        walked = walked.unionByName(at.select("a", "b", "edge"))
+    return walked
+
+
+def assign_load(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """edge, trains, busiest pair: every pair's trains put on the edges of its path.
+
+    `pairs` a, b, trains, straight (straight-line metres); detours are bounded.
+    """
+    bounded = pairs.withColumn("limit", F.greatest(1.6 * F.col("straight"), F.col("straight") + 3000))
+    on = route_pairs(edges, bounded.select("a", "b", "limit")).join(pairs.select("a", "b", "trains"), ["a", "b"])
+    return on.groupBy("edge").agg(
+        F.sum("trains").alias("trains"), F.max_by(F.struct("a", "b"), F.struct("trains", -F.col("a"), -F.col("b"))).alias("_t")
+    ).select("edge", "trains", F.col("_t.a").alias("top_a"), F.col("_t.b").alias("top_b"))
+
+
+def snap_links(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, reach: float = 60.0) -> DataFrame:
+    """Stop pairs routed on a road graph: a, b, metres, n_edges; unreachable pairs are left out.
+
+    `pairs` a, b, ax, ay, bx, by; `nodes` node, x, y. Both ends snap to the
+    nearest road node in reach, and the detour is bounded.
+    """
+    from landgauge.operators.spatial import nearest
+
+    stops = pairs.select(F.col("a").alias("stop"), F.col("ax").alias("sx"), F.col("ay").alias("sy")).union(pairs.select("b", "bx", "by")).dropDuplicates(["stop"])
+    snapped = nearest(stops, "stop", nodes, "node", reach).select("stop", "node")
+    straight = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    ends = (
+        pairs.join(snapped.select(F.col("stop").alias("a"), F.col("node").alias("na")), "a")
+        .join(snapped.select(F.col("stop").alias("b"), F.col("node").alias("nb")), "b")
+        .withColumn("limit", F.greatest(2.5 * straight, straight + 400))
+    )
+    wanted = ends.groupBy(F.col("na").alias("a"), F.col("nb").alias("b")).agg(F.max("limit").alias("limit"))
+    legs = route_pairs(edges, wanted).join(edges.groupBy("edge").agg(F.min("cost").alias("cost")), "edge")
+    total = legs.groupBy(F.col("a").alias("na"), F.col("b").alias("nb")).agg(F.sum("cost").alias("metres"), F.count(F.lit(1)).alias("n_edges"))
+    return ends.join(total, ["na", "nb"]).filter(F.col("metres") <= F.col("limit")).select("a", "b", "metres", "n_edges")
+
+
+# ---- transit ---------------------------------------------------------------
+
+# Minutes to board by mode, to alight, and the walking model.
+BOARD_MIN = {"tube": 2.5, "dlr": 3.0, "elizabeth-line": 3.5, "tram": 4.0}
+BOARD_OTHER, ALIGHT_MIN = 5.0, 2.0
+INTERCHANGE_M, INTERCHANGE_MIN, DETOUR, WALK_M_PER_MIN = 400.0, 1.0, 1.25, 80.0
+
+
+def transit_graph(hops: DataFrame, rail: DataFrame, stops: DataFrame) -> DataFrame:
+    """u, v, cost over line nodes (L:line:stop) and stop nodes (S:stop).
+
+    `hops` line, mode, a, b, minutes; `rail` a, b, minutes, trains; `stops` stop, x, y.
+    """
+    from landgauge.operators.spatial import within_distance
+
+    def line_node(stop: str) -> Column:
+        return F.concat(F.lit("L:"), F.col("line"), F.lit(":"), F.col(stop))
+
+    def stop_node(stop: str) -> Column:
+        return F.concat(F.lit("S:"), F.col(stop))
+
+    ride = hops.select(line_node("a").alias("u"), line_node("b").alias("v"), F.col("minutes").cast("double").alias("cost"))
+    back = ride.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost")
+    served = hops.select("line", "mode", F.explode(F.array("a", "b")).alias("stop")).distinct()
+    wait = F
+    for mode, minutes in BOARD_MIN.items():
+        wait = wait.when(F.col("mode") == mode, F.lit(minutes))
+    board = served.select(stop_node("stop").alias("u"), line_node("stop").alias("v"), wait.otherwise(F.lit(BOARD_OTHER)).alias("cost"))
+    alight = served.select("line", "stop").distinct().select(line_node("stop").alias("u"), stop_node("stop").alias("v"), F.lit(ALIGHT_MIN).alias("cost"))
+    known = stops.select(F.col("stop"))
+    direct = (
+        rail.filter("minutes > 0")
+        .join(known.withColumnRenamed("stop", "a"), "a", "left_semi")
+        .join(known.withColumnRenamed("stop", "b"), "b", "left_semi")
+        .select(stop_node("a").alias("u"), stop_node("b").alias("v"), (F.col("minutes") + F.least(F.lit(10.0), 540.0 / F.greatest("trains", F.lit(1)))).alias("cost"))
+    )
+    other = stops.select(F.col("stop").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    near = within_distance(stops, other, INTERCHANGE_M, ("x", "y"), ("tx", "ty")).filter(F.col("stop") != F.col("to"))
+    walk = near.select(stop_node("stop").alias("u"), stop_node("to").alias("v"), (INTERCHANGE_MIN + F.col("dist") * DETOUR / WALK_M_PER_MIN).alias("cost"))
+    return ride.unionByName(back).unionByName(board).unionByName(alight).unionByName(direct).unionByName(walk)
+
+
+PT_WALK_MPM = 80 / 1.3
+ACCESS_M, TRANSFER_M = 1200.0, 300.0
+
+
+def footpaths(stops: DataFrame, radius: float = TRANSFER_M) -> DataFrame:
+    """stop, to, walk (whole seconds) between different stops in transfer reach."""
+    from landgauge.operators.spatial import within_distance
+
+    other = stops.select(F.col("stop").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return (
+        within_distance(stops.select("stop", "x", "y"), other, radius, ("x", "y"), ("tx", "ty"))
+        .filter(F.col("stop") != F.col("to"))
+        .select("stop", "to", F.floor(F.col("dist") / PT_WALK_MPM * 60).alias("walk"))
+    )
+
+
+def earliest_arrival(
+    origins: DataFrame, stops: DataFrame, connections: DataFrame, t0: int, budget: int, max_rounds: int = 6,
+    access: float = ACCESS_M, transfer: float = TRANSFER_M,
+) -> DataFrame:
+    """origin, stop, t: earliest arrival (seconds after t0) within the budget.
+
+    `origins` origin, x, y; `connections` trip, dep, arr, td, ta. A round boards
+    every trip at its earliest reachable connection, rides on, and walks on to
+    nearby stops; it ends when nothing improves.
+    """
+    from landgauge.operators.spatial import within_distance
+
+    walkable = within_distance(origins.select("origin", "x", "y"), stops.select("stop", F.col("x").alias("tx"), F.col("y").alias("ty")), access, ("x", "y"), ("tx", "ty"))
+    state = cut_lineage(
+        walkable.select("origin", "stop", F.floor(F.col("dist") / PT_WALK_MPM * 60).alias("t"), F.lit(True).alias("fresh")).filter(F.col("t") <= budget)
+    )
+    inside = connections.filter(F.col("td").between(t0, t0 + budget)).select("trip", "dep", "arr", (F.col("td") - t0).alias("td"), (F.col("ta") - t0).alias("ta"))
+    paths = cut_lineage(footpaths(stops, transfer))
+    for _ in range(max_rounds):
+        board = (
+            state.filter("fresh").join(inside, F.col("stop") == F.col("dep")).filter(F.col("t") <= F.col("td")).groupBy("origin", "trip").agg(F.min("td").alias("on"))
+        )
+        ride = (
+            board.join(inside, "trip").filter((F.col("td") >= F.col("on")) & (F.col("ta") <= budget)).groupBy("origin", F.col("arr").alias("stop")).agg(F.min("ta").alias("t"))
         )
-    return dist
+        walk = ride.join(paths, "stop").select("origin", F.col("to").alias("stop"), (F.col("t") + F.col("walk")).alias("t")).filter(F.col("t") <= budget)
+        found = ride.unionByName(walk).withColumn("fresh", F.lit(True))
+        old, new = F.min(F.when(~F.col("fresh"), F.col("t"))), F.min(F.when(F.col("fresh"), F.col("t")))
+        merged = state.withColumn("fresh", F.lit(False)).unionByName(found).groupBy("origin", "stop").agg(old.alias("_o"), new.alias("_n"))
+        better = F.col("_n").isNotNull() & (F.col("_o").isNull() | (F.col("_n") < F.col("_o")))
+        state = cut_lineage(merged.select("origin", "stop", F.when(better, F.col("_n")).otherwise(F.col("_o")).alias("t"), better.alias("fresh")))
+        if state.filter("fresh").isEmpty():
+            break
+    return state.select("origin", "stop", "t")
+
+
+def rail_hops(reached: DataFrame, links: DataFrame, budget: int) -> DataFrame:
+    """origin, station, t: reached stations plus one direct train with its expected wait.
+
+    `reached` origin, station, t (seconds); `links` a, b, minutes, trains.
+    """
+    wait = F.least(F.lit(1800.0), 0.5 * 12 * 3600 / F.greatest(F.col("trains") * 0.6, F.lit(1.0)))
+    base = reached.filter(F.col("t") < budget)
+    on = base.join(links, F.col("station") == F.col("a")).select("origin", F.col("b").alias("station"), (F.col("t") + wait + F.col("minutes") * 60).alias("t")).filter(F.col("t") < budget)
+    return base.select("origin", "station", F.col("t").cast("double").alias("t")).unionByName(on).groupBy("origin", "station").agg(F.min("t").alias("t"))
+
+
+def rail_access(points: DataFrame, key: str, stations: DataFrame, links: DataFrame, reach: float = 1500.0) -> tuple[DataFrame, DataFrame]:
+    """(gateways, feeders): stations in walking reach per point, and the fastest
+    direct link of every other station into one of them."""
+    from landgauge.operators.spatial import within_distance
+
+    near = within_distance(points, stations.select("sid", "sx", "sy"), reach, ("x", "y"), ("sx", "sy"))
+    gateways = near.groupBy(key, "sid").agg(F.min("dist").alias("walk_m"))
+    into = links.join(gateways.select(key, F.col("sid").alias("b")), "b")
+    best = into.groupBy(key, "a").agg(F.min_by(F.struct("b", "minutes", "trains"), F.struct("minutes", "b")).alias("_l"))
+    feeders = best.select(key, F.col("a").alias("sid"), F.col("_l.b").alias("via"), F.col("_l.minutes").alias("minutes"), F.col("_l.trains").alias("trains"))
+    return gateways, feeders.join(gateways.select(key, "sid"), [key, "sid"], "left_anti")
 
 
 def contract(edges: DataFrame, keep: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -122,7 +331,3 @@ def contract(edges: DataFrame, keep: DataFrame, max_rounds: int = 40) -> DataFra
 
 def unordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b))
-
-
-def keys_of(cols: Sequence[str]) -> list[Column]:
-    return [F.col(c) for c in cols]

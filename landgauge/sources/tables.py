@@ -24,13 +24,16 @@ def replace_dataset(df: DataFrame, path: str, key: str = "dataset", min_rows: in
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Last write wins, inside the batch and against the table."""
+def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: str, by_order: bool = False) -> DataFrame:
+    """Last write wins, inside the batch and against the table.
+
+    With `by_order` the order column alone decides, so late batches may arrive in any order.
+    """
     tagged = base.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in tagged.columns if c not in (*keys, "_new")]
     return (
         tagged.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct("_new", order)).alias("_r"))
+        .agg(F.max_by(F.struct(*rest), F.struct(order, "_new") if by_order else F.struct("_new", order)).alias("_r"))
         .select(*keys, "_r.*")
     )
 

@@ -27,9 +27,9 @@ def stream_upsert(
         spark = batch.sparkSession
         merged = batch
         if number > 0:
-            merged = upsert(spark.read.parquet(f"{path}/batch={number - 1}"), batch, keys, order)
+            merged = upsert(spark.read.parquet(f"{path}/batch={number - 1}"), batch, keys, order, by_order=True)
         else:
-            merged = upsert(batch.limit(0), batch, keys, order)
+            merged = upsert(batch.limit(0), batch, keys, order, by_order=True)
         merged.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
