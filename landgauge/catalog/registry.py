@@ -57,6 +57,7 @@ MODULES = (
     "filters",
     "sources",
     "graphs",
+    "marts",
 )
 
 

@@ -1,4 +1,4 @@
-"""Iterative graph operators as rounds of joins; every round ends in a reliable checkpoint."""
+"""Iterative graph operators as rounds of joins; every round is written to the shared folder."""
 
 from __future__ import annotations
 

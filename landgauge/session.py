@@ -65,11 +65,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike a cached or local one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Writes the rows to a fresh table in the shared folder and reads them back.
+
+    It survives lost executors as a reliable checkpoint does, and unlike one it
+    also drops the inferred constraints (which double with every round of a
+    loop) and tells the optimiser the true size of the rows.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession, low: int = 8, high: int = 512) -> int:

@@ -97,7 +97,7 @@ FEATURE = "type string, properties map<string,string>, geometry struct<type:stri
 
 
 def _ring_points(coords: Column) -> Column:
-    return F.transform(coords, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    return F.transform(coords, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
 
 
 def parse_feature(feature: DataFrame, want: str = POLYGONS) -> DataFrame:
@@ -117,7 +117,7 @@ def parse_feature(feature: DataFrame, want: str = POLYGONS) -> DataFrame:
             "props", "kind", F.explode("_shapes").alias("_s")
         ).select("props", "kind", _ring_points(F.col("_s")).alias("rings"))
     if want == POINTS:
-        return base.filter(F.col("kind") == "point").select("props", "kind", F.col("_spot")[0].alias("x"), F.col("_spot")[1].alias("y"))
+        return base.filter(F.col("kind") == "point").select("props", "kind", F.get("_spot", F.lit(0)).alias("x"), F.get("_spot", F.lit(1)).alias("y"))
     return base.select("props", "kind")
 
 
