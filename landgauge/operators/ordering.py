@@ -40,22 +40,28 @@ def order_key(col: Column, dtype: str) -> Column:
     return col.cast("double")
 
 
-def cut_hot(df: DataFrame, keys: Sequence[str], order: str, out: str = "_rng") -> DataFrame:
-    """Adds a range number of `order` inside hot groups; null elsewhere."""
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of groups with more rows than one task should sort."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    return sizes.filter(F.col("_size") > hot_rows(df)).select(*keys)
+
+
+def cut_hot(
+    df: DataFrame, keys: Sequence[str], order: str, out: str = "_rng", hot: DataFrame | None = None
+) -> DataFrame:
+    """Adds a range number of `order` inside hot groups; null elsewhere.
+
+    `hot` may give the hot groups by a subset of the keys when they are cheaper to count.
+    """
     keys = list(keys)
     n = shuffle_width(df.sparkSession)
     key = order_key(F.col(order), dict(df.dtypes)[order])
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
     on = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    hot = (
-        src.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .filter(F.col("_size") > hot_rows(df))
-        .select(*on)
-    )
+    hot = hot if hot is not None else hot_keys(src, on)
     borders = (
-        src.join(F.broadcast(hot), on, "left_semi")
+        src.join(F.broadcast(hot), hot.columns, "left_semi")
         .groupBy(*on)
         .agg(F.percentile_approx(key, probs, F.lit(10000)).alias("_borders"))
     )
@@ -159,52 +165,59 @@ def exact_quantiles(
     probs = probs or {"med": 0.5}
     keys = list(keys)
     vnames = list(values)
-    flags = {m: f"_f{i}" for i, m in enumerate(measures)}
-    sources = F.array(
-        *[F.struct(F.lit(i).alias("_m"), c.cast("double").alias("_v")) for i, c in enumerate(values.values())]
-    )
-    tested = df.select(
-        *keys,
+    # measures of one value take slots 0, 1, ... of its rows
+    slot: dict[str, int] = {}
+    used = [0] * len(vnames)
+    for m, (v, _) in measures.items():
+        slot[m] = used[vnames.index(v)]
+        used[vnames.index(v)] += 1
+    slots = [f"_f{i}" for i in range(max(used))]
+
+    def flag(v: str, i: int) -> Column:
+        for m, (mv, cond) in measures.items():
+            if mv == v and slot[m] == i:
+                return F.lit(1) if cond is None else F.when(cond, 1).otherwise(0)
+        return F.lit(0)
+
+    rows = F.array(
         *[
-            F.coalesce(cond if cond is not None else F.lit(True), F.lit(False)).alias(flags[m])
-            for m, (_, cond) in measures.items()
-        ],
-        sources.alias("_src"),
+            F.struct(
+                F.lit(i).alias("_m"), c.cast("double").alias("_v"), *[flag(v, j).alias(f) for j, f in enumerate(slots)]
+            )
+            for i, (v, c) in enumerate(values.items())
+        ]
     )
     long = (
-        tested.select(*keys, *flags.values(), F.explode("_src").alias("_s"))
-        .filter(F.col("_s._v").isNotNull())
-        .select(
-            *keys,
-            "_s._m",
-            "_s._v",
-            *[
-                (F.col(flags[m]) & (F.col("_s._m") == vnames.index(v))).cast("int").alias(flags[m])
-                for m, (v, _) in measures.items()
-            ],
-        )
+        df.select(*keys, F.explode(rows).alias("_s"))
+        .select(*keys, "_s.*")
+        .filter(F.col("_v").isNotNull())
     )
     group = [*keys, "_m"]
-    cut = cut_hot(long, group, "_v")
-    offsets = range_offsets(cut, group, {f: F.col(f) for f in flags.values()})
-    part = Window.partitionBy(*group, "_rng")
-    upto = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    # every row gives at most one row per value, so counting plain rows is enough
+    hot = hot_keys(df.select(*keys), keys) if keys else None
+    cut = cut_hot(long, group, "_v", hot=hot).withColumn("_h", F.xxhash64(*group, "_rng"))
+    offsets = range_offsets(cut, group, {f: F.col(f) for f in slots})
+    # the hash leads the sort so that its first eight bytes settle most comparisons
+    ordered = Window.partitionBy("_h", *group, "_rng").orderBy("_v")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = cut.select(
         "*",
-        *[F.sum(f).over(upto).alias(f"{f}_run") for f in flags.values()],
-        *[F.sum(f).over(part).alias(f"{f}_tot") for f in flags.values()],
+        *[F.sum(f).over(upto).alias(f"{f}_run") for f in slots],
+        *[F.sum(f).over(whole).alias(f"{f}_tot") for f in slots],
     )
     joined = join_offsets(ranked, offsets, group)
     hit = F.lit(False)
     aggs = []
-    for m, f in flags.items():
+    for m, (v, _) in measures.items():
+        f = slots[slot[m]]
+        mine = (F.col("_m") == vnames.index(v)) & (F.col(f) == 1)
         rank = F.coalesce(F.col(f"{f}_before"), F.lit(0)) + F.col(f"{f}_run") - 1
         total = F.coalesce(F.col(f"{f}_all"), F.col(f"{f}_tot"))
-        aggs.append(F.coalesce(F.max(F.when(F.col(f) == 1, total)), F.lit(0)).alias(f"{m}_n"))
+        aggs.append(F.coalesce(F.max(F.when(mine, total)), F.lit(0)).alias(f"{m}_n"))
         for p, q in probs.items():
             pos = F.lit(q) * (total - 1)
-            at_lo = (F.col(f) == 1) & (rank == F.floor(pos))
-            at_hi = (F.col(f) == 1) & (rank == F.ceil(pos))
+            at_lo, at_hi = mine & (rank == F.floor(pos)), mine & (rank == F.ceil(pos))
             hit = hit | at_lo | at_hi
             lo, hi = F.max(F.when(at_lo, F.col("_v"))), F.max(F.when(at_hi, F.col("_v")))
             frac = F.max(F.when(at_lo, pos - F.floor(pos)))
