@@ -207,22 +207,33 @@ def exact_quantiles(
         *[F.sum(f).over(whole).alias(f"{f}_tot") for f in slots],
     )
     joined = join_offsets(ranked, offsets, group)
+    # the two rows a quantile lies between are the ones less than one rank away from it
+    ranked_slots = joined.withColumns(
+        {
+            **{f"{f}_rank": F.coalesce(F.col(f"{f}_before"), F.lit(0)) + F.col(f"{f}_run") - 1 for f in slots},
+            **{f"{f}_n": F.coalesce(F.col(f"{f}_all"), F.col(f"{f}_tot")) for f in slots},
+        }
+    )
+
+    def off(f: str, q: float) -> Column:
+        return F.col(f"{f}_rank") - F.lit(q) * (F.col(f"{f}_n") - 1)
+
     hit = F.lit(False)
+    for f in slots:
+        for q in probs.values():
+            hit = hit | ((F.col(f) == 1) & (F.abs(off(f, q)) < 1))
     aggs = []
     for m, (v, _) in measures.items():
         f = slots[slot[m]]
         mine = (F.col("_m") == vnames.index(v)) & (F.col(f) == 1)
-        rank = F.coalesce(F.col(f"{f}_before"), F.lit(0)) + F.col(f"{f}_run") - 1
-        total = F.coalesce(F.col(f"{f}_all"), F.col(f"{f}_tot"))
-        aggs.append(F.coalesce(F.max(F.when(mine, total)), F.lit(0)).alias(f"{m}_n"))
+        aggs.append(F.coalesce(F.max(F.when(mine, F.col(f"{f}_n"))), F.lit(0)).alias(f"{m}_n"))
         for p, q in probs.items():
-            pos = F.lit(q) * (total - 1)
-            at_lo, at_hi = mine & (rank == F.floor(pos)), mine & (rank == F.ceil(pos))
-            hit = hit | at_lo | at_hi
-            lo, hi = F.max(F.when(at_lo, F.col("_v"))), F.max(F.when(at_hi, F.col("_v")))
-            frac = F.max(F.when(at_lo, pos - F.floor(pos)))
+            gap = off(f, q)
+            lo = F.max(F.when(mine & (gap <= 0) & (gap > -1), F.col("_v")))
+            hi = F.max(F.when(mine & (gap >= 0) & (gap < 1), F.col("_v")))
+            frac = F.max(F.when(mine & (gap <= 0) & (gap > -1), -gap))
             aggs.append((lo + (hi - lo) * frac).alias(f"{m}_{p}"))
-    return joined.filter(hit).groupBy(*keys).agg(*aggs)
+    return ranked_slots.filter(hit).groupBy(*keys).agg(*aggs)
 
 
 def medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
