@@ -196,11 +196,11 @@ def a24(t):
 @query(
     "a25_consensus",
     """with l as (select o_custkey%50 as zone, o_orderpriority as tier, o_orderstatus as agent, max_by(o_totalprice, (o_orderdate, -o_orderkey)) as rent from orders group by 1,2,3)
- select zone, tier, round(avg(rent),2) as mean_rent, count(*) as n_agents, round(max(rent),2) as top from l group by 1,2""",
+ select zone, tier, round(avg(rent),4) as mean_rent, count(*) as n_agents, round(max(rent),2) as top from l group by 1,2""",
 )
 def a25(t):
     figs = t.orders.select((F.col("o_custkey") % 50).alias("zone"), F.col("o_orderpriority").alias("tier"), F.col("o_orderstatus").alias("agent"), F.col("o_totalprice").alias("rent"), F.col("o_orderdate").alias("score"), F.col("o_orderkey").alias("fig_id"))
-    return A.consensus(figs).select("zone", "tier", "mean_rent", "n_agents", F.round(F.col("figures")[0], 2).alias("top"))
+    return A.consensus(figs).select("zone", "tier", F.round("mean_rent", 4).alias("mean_rent"), "n_agents", F.round(F.col("figures")[0], 2).alias("top"))
 
 
 MONTHLY_SQL = """m as (select o_orderpriority as code, cast(date_trunc('month', o_orderdate) as date) as month, avg(o_totalprice) as rent from orders where month(o_orderdate)<>7 group by 1,2)"""

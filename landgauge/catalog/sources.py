@@ -179,7 +179,7 @@ def s17(t):
 def s18(t):
     am = B.amenities(t).select(F.col("id").alias("source_id"), F.create_map(F.lit("kind"), F.col("kind")).alias("props"), F.to_json(F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))).alias("geom_json"))
     doc = TB.to_feature_collection(am, "source_id", 500)
-    return doc.select("n", F.get_json_object("doc", "$.features[0].id").cast("int").alias("first_id"), F.get_json_object(F.col("doc"), "$.features[499].id").cast("bigint").alias("last_id"))
+    return doc.select("n", F.get_json_object("doc", "$.features[0].id").cast("int").alias("first_id"), F.element_at(F.from_json(F.get_json_object("doc", "$.features[*].id"), "array<bigint>"), -1).alias("last_id"))
 
 
 @query("s19_export_ranked", "select o_orderkey as id, o_totalprice as score from orders where o_totalprice>250000")

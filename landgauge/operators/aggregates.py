@@ -142,7 +142,7 @@ def consensus(figures: DataFrame, score: str = "score", tie: str = "fig_id") ->
     """Latest figure per (zone, tier, agent), then mean and sorted values per (zone, tier)."""
     latest = figures.groupBy("zone", "tier", "agent").agg(F.max_by("rent", F.struct(score, -F.col(tie))).alias("rent"))
     return latest.groupBy("zone", "tier").agg(
-        F.round(F.avg("rent"), 2).alias("mean_rent"),
+        F.avg("rent").alias("mean_rent"),
         F.count(F.lit(1)).alias("n_agents"),
         # one figure per agent by now, so the list is as long as the agent panel
         F.sort_array(F.collect_list("rent"), asc=False).alias("figures"),
