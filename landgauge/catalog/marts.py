@@ -43,7 +43,7 @@ def m01(t):
 
 @query("m01_developable_plots")
 def m01_plots(t):
-    """With opening, minimum plot and largest plot (rows only; brute force in the tests)."""
+    """With opening, minimum plot and largest plot (rows only; opening and parts are tested by brute force)."""
     return SP.developable_land(B.stations(t), block_cover(t), CELL, 1000.0, 200.0, 40_000.0, 250.0)
 
 
@@ -288,7 +288,7 @@ def m19(t):
 
 @query("m20_track_usage")
 def m20(t):
-    """Schedules resolved for the day, their calls put on a ladder of track (rows only; tested by hand)."""
+    """Schedules resolved for the day, their calls put on a ladder of track (rows only; overlay choice and load assignment are checked on their own)."""
     from landgauge.catalog.graphs import ladder
 
     k = F.col("o_orderkey")
@@ -338,7 +338,7 @@ def m22(t):
 
 @query("m23_public_estate")
 def m23(t):
-    """Titles to owner classes, to postcode points, to parcels (pairing rules tested by scenario)."""
+    """Titles to owner classes, to postcode points, to parcels (rows only; the pairing rules are tested by scenario)."""
     from landgauge.catalog.classify import ADDRESSES, CATEGORIES, OWNERS
     from landgauge.catalog.joins import parcels
 
@@ -411,7 +411,7 @@ def m27(t):
 
 @query("m28_transport_constraint", "select 'transport' as kind, least(count(*),1) as has_rows, true as grown from part")
 def m28(t):
-    """Road centre lines grown by class: every grown cell lies within reach of a line (see tests)."""
+    """Road centre lines grown by class; the SQL twin only checks that cells come out."""
     k = F.col("p_partkey")
     lines = t.part.select(k.alias("line_id"), pick("p_partkey", ["Motorway", "A Road", "B Road", "Minor Road"]).alias("cls"), (k % 9 == 0).alias("is_rail"), (k % 500 * 100.0).alias("x1"), (k % 70 * 300.0).alias("y1"), (k % 500 * 100.0 + 400).alias("x2"), (k % 70 * 300.0 + 50).alias("y2"))
     out = LY.transport_constraint(lines, 10.0)
