@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landgauge.llm import ngram_join
+from landgauge.llm import fingerprint, htmltext, ngram_join, packing, topk, warc
 from landgauge.session import configure
 
 
@@ -14,13 +15,59 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op2_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page archived, found through the capture index and read back."""
+    read = warc.archive_and_read(table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, url, text, n_lines: the visible text of every page."""
+    pages = htmltext.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))))
+
+
+def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 best inner products of every 50th vector."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 50 = 0),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token pieces with their places in the packed sequences."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, with their likeness."""
+    return fingerprint.compare_edited(table(spark, folder, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, class_id, class_size, n_links of every document at 5-word Jaccard 0.8."""
     return ngram_join.jaccard_join(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_index": op2_warc_index,
+    "op4_html_text": op4_html_text,
+    "op7_exact_topk": op7_exact_topk,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_fingerprints": op9_fingerprints,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_exact_topk": OP7_SQL}
