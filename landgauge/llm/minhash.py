@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from landgauge.llm.text import U64, mix
 
 # a block of a candidate group holds at most about this many members and this many set elements
-BLOCK_MEMBERS, BLOCK_ELEMENTS = 256, 400_000
+BLOCK_MEMBERS, BLOCK_ELEMENTS = 128, 200_000
 
 
 def band_plan(threshold: float, recall: float, most: int) -> tuple[int, int]:
@@ -65,21 +65,24 @@ def star_edges(keys: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFr
     return keys.join(shared, "bucket").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def block_pairs(members: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Deals the members of each group to pairs of blocks, so that any two members meet in exactly one.
+def dealt_blocks(members: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds blocks (how many its group is cut into) and b (its own) to `members` grp, node, weight, ...
 
-    `members` grp, node, weight (elements of its set), further columns. Adds bi,
-    bj (bi <= bj) and b (the member's own block). A group of up to one block
-    gives one row per member.
+    weight is the number of elements of the member's set.
     """
     sizes = cut(
         members.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), F.sum("weight").alias("_w")).select(
-            "grp", F.greatest(F.ceil(F.col("_n") / BLOCK_MEMBERS), F.ceil(F.col("_w") / BLOCK_ELEMENTS)).cast("int").alias("_blocks")
+            "grp", F.greatest(F.ceil(F.col("_n") / BLOCK_MEMBERS), F.ceil(F.col("_w") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
         )
     )
-    placed = members.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    other = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return other.select(*members.columns, "b", F.least("b", "_o").alias("bi"), F.greatest("b", "_o").alias("bj"))
+    return members.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Copies each member of `members` (b, blocks, ...) to the pairs of blocks bi <= bj that hold its
+    block, so that any two members of a group meet in one pair."""
+    other = members.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select(*members.columns, F.least("b", "_o").alias("bi"), F.greatest("b", "_o").alias("bj"))
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

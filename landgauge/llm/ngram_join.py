@@ -56,8 +56,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
     )
 
 
+SET_SCHEMA = "grp long, b int, blocks int, node long, size long, grams array<long>"
+
+
 def sets_of(texts: DataFrame, n: int) -> DataFrame:
-    """Adds grams, the sorted distinct n-gram hashes, to rows text, node, grp, size; rows whose words are not those of `node` go."""
+    """Rows text, grp, b, blocks, node, size with grams, the sorted distinct n-gram hashes, in place of the text.
+
+    Rows whose words are not those of `node` go.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,22 +73,22 @@ def sets_of(texts: DataFrame, n: int) -> DataFrame:
                 sets = [np.unique(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
                 part = batch.slice(begin, end - begin)
                 out = pa.RecordBatch.from_arrays(
-                    [part.column(1), part.column(2), part.column(3), list_array(np.concatenate(sets).view(np.int64), np.r_[0, np.cumsum([len(s) for s in sets])])],
-                    names=["node", "grp", "size", "grams"],
+                    [*part.columns[1:], list_array(np.concatenate(sets).view(np.int64), np.r_[0, np.cumsum([len(s) for s in sets])])],
+                    names=["grp", "b", "blocks", "node", "size", "grams"],
                 )
-                yield out.filter(pa.array(words.sequence_hash().view(np.int64) == part.column(1).to_numpy()))
+                yield out.filter(pa.array(words.sequence_hash().view(np.int64) == part.column(4).to_numpy()))
 
-    return texts.select("text", "node", "grp", "size").mapInArrow(gather, "node long, grp long, size long, grams array<long>")
+    return texts.select("text", "grp", "b", "blocks", "node", "size").mapInArrow(gather, SET_SCHEMA)
 
 
 def verify(members: DataFrame, threshold: float) -> DataFrame:
     """node, links, root: verified links of each member and its forest root, per pair of blocks.
 
-    `members` grp, node, size (rows of the class), grams, weight.
+    `members` grp, b, blocks, node, size (rows of the class), grams.
     """
-    dealt = minhash.block_pairs(members, cut)
     keys = ["grp", "bi", "bj"]
-    placed = dealt.select(*keys, "b", "node", "size", "grams").repartition(width(dealt.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = minhash.block_pairs(members).select(*keys, "b", "node", "size", "grams")
+    placed = dealt.repartition(width(dealt.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in minhash.by_group(batches, keys):
@@ -128,9 +134,10 @@ def jaccard_join(
     candidate = components(minhash.star_edges(classes.select("node", F.explode("keys").alias("bucket")), cut), cut)
     grouped = candidate.select("node", F.col("root").alias("grp")).unionByName(candidate.select(F.col("root").alias("node"), F.col("root").alias("grp")).distinct())
     members = cut(grouped.join(classes.select("node", "rep", "size", "weight"), "node"))
-    wanted = members.select(F.coalesce("rep", F.lit(NO_ID)).alias("_id"), "node", "grp", "size")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).cast("string").alias("text")).join(wanted, "_id")
-    judged = cut(verify(sets_of(texts, n).withColumn("weight", F.size("grams").cast("long")), threshold))
+    wanted = minhash.dealt_blocks(members, cut).select(F.coalesce("rep", F.lit(NO_ID)).alias("_id"), "grp", "b", "blocks", "node", "size")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    # how many candidates there are follows the corpus, so the join is by shuffle at every size
+    judged = cut(verify(sets_of(texts.join(wanted.hint("merge"), "_id"), n), threshold))
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(judged.select(F.col("node").alias("u"), F.col("root").alias("v")), cut)
     named = classes.select("node", "rep", "size").join(links, "node", "left").join(joined, "node", "left")
