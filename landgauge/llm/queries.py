@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgauge.llm import fingerprint, htmltext, ngram_join, packing, topk, warc
+from landgauge.llm import fingerprint, htmltext, langid, mixing, ngram_join, packing, substring, topk, toxicity, warc
 from landgauge.session import configure
 
 
@@ -15,18 +15,49 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+# Domains that the labels table tells apart, and the weights that op6 mixes them to.
+DOMAIN_WEIGHTS = {"good": 0.85, "low": 0.10, "toxic": 0.05}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of 20 words and more that repeats, with the occurrence that stays."""
+    return substring.repeats(table(spark, folder, "documents"))
+
+
 def op2_warc_index(spark: SparkSession, folder: str) -> DataFrame:
     """Every page archived, found through the capture index and read back."""
     read = warc.archive_and_read(table(spark, folder, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document."""
+    return langid.identify(table(spark, folder, "documents"))
+
+
 def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, text, n_lines: the visible text of every page."""
     pages = htmltext.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return pages.withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, tokens, posterior, rate, copies of every document; domains in the order of DOMAIN_WEIGHTS."""
+    docs = table(spark, folder, "documents")
+    rated = mixing.mix(docs, labelled_domains(table(spark, folder, "labels")), DOMAIN_WEIGHTS)
+    return mixing.per_document(docs, rated)
+
+
 def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 5 best inner products of every 50th vector."""
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -62,8 +93,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_index": op2_warc_index,
+    "op3_language_id": op3_language_id,
     "op4_html_text": op4_html_text,
+    "op5_toxicity": op5_toxicity,
+    "op6_mix_sources": op6_mix_sources,
     "op7_exact_topk": op7_exact_topk,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
