@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landgauge.session import cut_lineage
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (smallest node of the component).
 
     Alternating large-star / small-star rewiring: each round is two grouped
@@ -30,15 +32,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         return moved.unionByName(own).filter("u <> v").distinct()
 
     seen = None
-    for _ in range(max_rounds):
+    while True:
         links = cut_lineage(star(star(links, True), False))
         # one-row fingerprint of the edge set: the same twice means nothing moved
         mark = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     if nodes is None:
         nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("_root")), "node", "left").select(
@@ -47,18 +47,18 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
 
 
 def shortest_times(
-    edges: DataFrame, sources: DataFrame, max_rounds: int = 300, eps: float = 0.05, limit: Column | None = None
+    edges: DataFrame, sources: DataFrame, eps: float = 0.0, limit: Column | None = None
 ) -> DataFrame:
     """Multi-source shortest time by relaxation: node, dist.
 
     `edges` u, v, cost (travel u -> v); `sources` node, dist. A round relaxes
     only the edges of nodes improved in the last round and stops when no node
-    improves by more than eps.
+    improves by more than eps; there is no limit on rounds.
     """
     state = cut_lineage(
         sources.groupBy("node").agg(F.min(F.col("dist").cast("double")).alias("dist")).withColumn("fresh", F.lit(True))
     )
-    for _ in range(max_rounds):
+    while True:
         reached = (
             state.filter("fresh")
             .join(edges, F.col("node") == F.col("u"))
@@ -80,7 +80,7 @@ def shortest_times(
     return state.select("node", "dist")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 500) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """origin, node, dist, prev, edge: shortest path trees of many origins at once.
 
     `edges` u, v, cost, edge; `starts` origin, node, limit (longest path worth following).
@@ -91,7 +91,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 500) -
             F.lit(None).cast(dict(edges.dtypes)["edge"]).alias("edge"), "limit", F.lit(True).alias("fresh"),
         )
     )
-    for _ in range(max_rounds):
+    while True:
         step = (
             state.filter("fresh")
             .select("origin", F.col("node").alias("u"), F.col("dist").alias("_d"), "limit")
@@ -113,13 +113,13 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 500) -
     return state.drop("limit", "fresh")
 
 
-def route_pairs(edges: DataFrame, pairs: DataFrame, max_rounds: int = 500) -> DataFrame:
+def route_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, edge for every edge on the shortest a-b path no longer than `limit`.
 
     `pairs` a, b, limit. Paths are walked back from b one join per round.
     """
     starts = pairs.groupBy(F.col("a").alias("origin")).agg(F.max("limit").alias("limit")).withColumn("node", F.col("origin"))
-    tree = shortest_paths(edges, starts, max_rounds)
+    tree = shortest_paths(edges, starts)
     at = cut_lineage(
         pairs.filter("a <> b")
         .join(tree.select(F.col("origin").alias("a"), F.col("node").alias("b"), "dist", "prev", "edge"), ["a", "b"])
@@ -128,7 +128,7 @@ def route_pairs(edges: DataFrame, pairs: DataFrame, max_rounds: int = 500) -> Da
     )
     steps = tree.select(F.col("origin").alias("a"), F.col("node").alias("prev"), F.col("prev").alias("_before"), F.col("edge").alias("_edge"))
     walked = at.select("a", "b", "edge")
-    for _ in range(max_rounds):
+    while True:
         at = cut_lineage(
             at.filter(F.col("prev") != F.col("a")).join(steps, ["a", "prev"]).select("a", "b", F.col("_before").alias("prev"), F.col("_edge").alias("edge"))
         )
@@ -231,7 +231,7 @@ def footpaths(stops: DataFrame, radius: float = TRANSFER_M) -> DataFrame:
 
 
 def earliest_arrival(
-    origins: DataFrame, stops: DataFrame, connections: DataFrame, t0: int, budget: int, max_rounds: int = 6,
+    origins: DataFrame, stops: DataFrame, connections: DataFrame, t0: int, budget: int,
     access: float = ACCESS_M, transfer: float = TRANSFER_M,
 ) -> DataFrame:
     """origin, stop, t: earliest arrival (seconds after t0) within the budget.
@@ -248,7 +248,7 @@ def earliest_arrival(
     )
     inside = connections.filter(F.col("td").between(t0, t0 + budget)).select("trip", "dep", "arr", (F.col("td") - t0).alias("td"), (F.col("ta") - t0).alias("ta"))
     paths = cut_lineage(footpaths(stops, transfer))
-    for _ in range(max_rounds):
+    while True:
         board = (
             state.filter("fresh").join(inside, F.col("stop") == F.col("dep")).filter(F.col("t") <= F.col("td")).groupBy("origin", "trip").agg(F.min("td").alias("on"))
         )
@@ -290,7 +290,7 @@ def rail_access(points: DataFrame, key: str, stations: DataFrame, links: DataFra
     return gateways, feeders.join(gateways.select(key, "sid"), [key, "sid"], "left_anti")
 
 
-def contract(edges: DataFrame, keep: DataFrame, max_rounds: int = 40) -> DataFrame:
+def contract(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Degree-2 contraction: chains between kept or branching nodes become single edges.
 
     `edges` u, v, length (undirected). Each round merges a maximal set of
@@ -299,7 +299,7 @@ def contract(edges: DataFrame, keep: DataFrame, max_rounds: int = 40) -> DataFra
     cur = cut_lineage(
         edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "length").filter("u <> v")
     )
-    for i in range(max_rounds):
+    for i in itertools.count():
         ends = cur.select(F.col("u").alias("node"), F.col("v").alias("other"), "length").unionByName(
             cur.select(F.col("v").alias("node"), F.col("u").alias("other"), "length")
         )

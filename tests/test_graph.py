@@ -96,7 +96,7 @@ def test_earliest_arrival_equals_connection_scan(spark):
     stops = spark.createDataFrame(pd.DataFrame({"stop": range(n), "x": xy[:, 0], "y": xy[:, 1]}))
     got = GR.earliest_arrival(
         spark.createDataFrame([(1, 700.0, 700.0)], "origin int, x double, y double"), stops,
-        spark.createDataFrame(conns, "trip int, dep long, arr long, td long, ta long"), t0, budget, max_rounds=12, access=400.0,
+        spark.createDataFrame(conns, "trip int, dep long, arr long, td long, ta long"), t0, budget, access=400.0,
     )
     assert {r.stop: r.t for r in got.collect()} == best
 
