@@ -276,7 +276,7 @@ def a19(t):
     "a20_station_links",
     B.ctes(B.CALLS_SQL, TRIP_STOPS)
     + """, p as (select a.stop, b.stop as dest, trip, case when b.minute<a.minute then b.minute-a.minute+1440 else b.minute-a.minute end as m from s a join s b using (trip) where a.stop<>b.stop and b.l>a.f),
- k as (select * from p where m<=600), q as (select * from k qualify row_number() over (partition by stop, dest order by trip)<=40), d as (select stop, dest, quantile_cont(m,0.5) as minutes from q group by 1,2)
+ k as (select * from p where m<=600), d as (select stop, dest, quantile_cont(m,0.5) as minutes from k group by 1,2)
  select stop, dest, count(*) as trains_day, any_value(minutes) as minutes from k join d using (stop, dest) group by 1,2""",
 )
 def a20(t):

@@ -168,13 +168,12 @@ def j14(t):
 
 @query(
     "j15_contains_match",
-    """with p as (select p_partkey, regexp_replace(p_name,'[^a-z0-9]','','g') as nm from part), s as (select distinct regexp_replace(p_name,'[^a-z0-9]','','g') as sn from part where p_partkey%7=0),
- s2 as (select sn[1:6] as sn, min(length(sn)) as l from s group by 1)
- select p_partkey, s2.sn as substation from p left join s2 on length(sn)>=4 and (contains(nm,sn) or contains(sn,nm)) qualify row_number() over (partition by p_partkey order by length(sn) desc, sn)=1""",
+    """with p as (select p_partkey, regexp_replace(p_name,'[^a-z0-9]','','g') as nm from part), s as (select distinct regexp_replace(p_name,'[^a-z0-9]','','g') as sn from part)
+ select p_partkey, s.sn as substation from p left join s on length(sn)>=4 and (contains(nm,sn) or contains(sn,nm)) qualify row_number() over (partition by p_partkey order by length(sn) desc, sn)=1""",
 )
 def j15(t):
     a = t.part.select("p_partkey", norm_name(F.col("p_name")).alias("nm"))
-    b = t.part.filter("p_partkey % 7 = 0").select(F.substring(norm_name(F.col("p_name")), 1, 6).alias("sn")).distinct()
+    b = t.part.select(norm_name(F.col("p_name")).alias("sn")).distinct()
     return L.contains_match(a, "p_partkey", "nm", b.withColumn("substation", F.col("sn")), "substation", "sn").select("p_partkey", "substation")
 
 

@@ -102,10 +102,10 @@ def m04(t):
     return SP.station_prices(B.stations(t), B.sales(t), areas, 1500.0)
 
 
-@query("m05_station_scotland", SOCIO_SQL + " select sid, round(catchment_pop,2) as catchment_pop, round(imd,4) as imd from v where sid%2=0")
+@query("m05_station_scotland", SOCIO_SQL + " select sid, round(catchment_pop,2) as catchment_pop, round(imd,4) as imd from v")
 def m05(t):
     """The northern variant: one score, same catchment-else-nearest rule."""
-    st = B.stations(t).filter("sid % 2 = 0").withColumns({"connectivity": F.lit(0), "dwelling_yield": F.lit(0)})
+    st = B.stations(t).withColumns({"connectivity": F.lit(0), "dwelling_yield": F.lit(0)})
     out = SP.station_socioecon(st, small_areas(t), B.amenities(t), ["imd"], {"regen": 1, "access": 0, "housing": 0}, 2500.0)
     return out.select("sid", F.round("catchment_pop", 2).alias("catchment_pop"), F.round("imd", 4).alias("imd"))
 
@@ -221,12 +221,12 @@ def m13(t):
 @query(
     "m14_site_sift",
     f"""with {CF.CAND_SQL}, r as (select *, {CF.mid_sql('z1_min', 'p1', True)}, {CF.mid_sql('conn_pt', 'p2', False)} from cand)
- select id, cast(round(100*(2*p1+coalesce(p2,0))/(2+case when p2 is null then 0 else 1 end)) as int) as score from r where src<>'green_space' and {CF.LAND_OK} and z1_min<=30 order by score desc, area_ha desc, id limit 50""",
+ select id, cast(round(100*(2*p1+coalesce(p2,0))/(2+case when p2 is null then 0 else 1 end)) as int) as score from r where src<>'green_space' and {CF.LAND_OK} and z1_min<=30""",
 )
 def m14(t):
-    """Ranked shortlist: land filter, zone filter that also scores, connectivity score."""
+    """All sites that pass, with their score: land filter, zone filter that also scores, connectivity score."""
     kept, _ = GT.run_gates(CF.candidates(t), "id", [GT.gate("land"), GT.gate("z1", "filter", value=30), GT.gate("conn", "score")])
-    return kept.orderBy(F.col("score").desc(), F.col("area_ha").desc(), F.col("id")).limit(50).select("id", "score")
+    return kept.select("id", "score")
 
 
 @query(
@@ -344,7 +344,7 @@ def m23(t):
 
     df = t.orders.withColumn("k", F.col("o_orderkey"))
     titles = df.select((F.col("o_custkey") % 500).alias("postcode"), pick("k", ADDRESSES).alias("address"), F.col("k").alias("ord"), F.array(pick("k", OWNERS), pick("o_custkey", OWNERS)).alias("names"), F.array(pick("k", CATEGORIES), pick("o_custkey", CATEGORIES)).alias("categories"))
-    pcs = B.amenities(t).filter("id < 500").select(F.col("id").alias("postcode"), "x", "y")
+    pcs = B.amenities(t).select(F.col("id").alias("postcode"), "x", "y")
     return LY.public_estate(titles, pcs, parcels(t), 250.0, 800.0, 360_000.0)
 
 

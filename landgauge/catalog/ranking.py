@@ -176,10 +176,10 @@ def w13(t):
 
 @query(
     "w14_peers",
-    """with v as (select p_partkey as id, p_brand as tier, ln(cast(p_partkey+1 as double)) as ls from part),
+    """with v as (select p_partkey as id, p_brand as tier, ln(cast(p_size+1 as double)) as ls from part),
  r as (select a.id, b.id as peer, abs(a.ls-b.ls) as gap from v a join v b on a.id<>b.id and (a.tier=b.tier or abs(a.ls-b.ls)<0.25))
  select id, peer, round(gap,9) as gap, rn as peer_rank from (select *, row_number() over (partition by id order by gap, peer) as rn from r) where rn<=6""",
 )
 def w14(t):
-    df = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("tier"), (F.col("p_partkey") + 1).alias("size"))
+    df = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("tier"), (F.col("p_size") + 1).alias("size"))
     return R.peers(df, "id", "tier", "size", 6).select("id", "peer", F.round("gap", 9).alias("gap"), "peer_rank")

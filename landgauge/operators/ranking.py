@@ -169,17 +169,21 @@ def anchor_indices(df: DataFrame, key: str) -> DataFrame:
 def peers(df: DataFrame, key: str, tier: str, size: str, n: int = 6) -> DataFrame:
     """The n closest rows by log size among rows of the same tier or of similar size.
 
-    Log size is the join axis: similar-size pairs share one of three adjacent
-    quarter-wide bins, and same-tier pairs use a per-tier walk outward in size
-    order (the n nearest above and below), so no tier is ever paired in full.
+    Ties in the gap go to the lower key. Each row walks outward over the
+    different sizes, n up and n down and its own, within its tier and over all
+    rows; of the rows of one size only the n + 1 lowest keys can be among the
+    closest, so no tier and no size is ever paired in full.
     """
     base = df.withColumn("_ls", F.log(F.col(size).cast("double"))).filter(F.col(size) > 0)
+
     def walk(src: DataFrame, part: Sequence[str]) -> DataFrame:
-        pos = row_numbers(src, "_ls", key, part, "_pos").drop("n_total")
-        right = pos.select(*part, F.col(key).alias("peer"), F.col("_ls").alias("_pls"), F.col("_pos").alias("_ppos"))
-        offsets = F.explode(F.array(*[F.lit(i) for i in range(-n, n + 1) if i != 0]))
-        left = pos.withColumn("_off", offsets).withColumn("_ppos", F.col("_pos") + F.col("_off"))
-        return left.join(right, [*part, "_ppos"]).select(
+        sizes = src.select(*part, "_ls").distinct()
+        pos = row_numbers(sizes, "_ls", "_ls", part, "_pos").select(*part, "_ls", "_pos")
+        lowest = first_per(src.select(*part, "_ls", F.col(key).alias("peer")), [*part, "_ls"], [F.col("peer")], n + 1)
+        right = lowest.join(pos, [*part, "_ls"]).select(*part, "peer", F.col("_ls").alias("_pls"), F.col("_pos").alias("_ppos"))
+        offsets = F.explode(F.sequence(F.lit(-n), F.lit(n)))
+        left = src.select(key, *part, "_ls").join(pos, [*part, "_ls"]).withColumn("_off", offsets).withColumn("_ppos", F.col("_pos") + F.col("_off"))
+        return left.join(right, [*part, "_ppos"]).filter(F.col(key) != F.col("peer")).select(
             key, "_ls", "peer", F.abs(F.col("_ls") - F.col("_pls")).alias("gap")
         )
 

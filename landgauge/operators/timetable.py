@@ -16,8 +16,6 @@ from landgauge.operators.ordering import exact_quantiles, first_per, next_rows
 
 DAY_HOURS = (7, 18)
 PEAK_HOURS = (7, 9)
-ROUTE_CAP = 10
-SAMPLE_CAP = 40
 
 
 def expand_frequencies(freq: DataFrame) -> DataFrame:
@@ -26,12 +24,12 @@ def expand_frequencies(freq: DataFrame) -> DataFrame:
     return freq.filter((F.col("headway") > 0) & (F.col("end") > F.col("start"))).select("trip", F.explode(runs).alias("minute"))
 
 
-def stop_frequency(calls: DataFrame, route: str, keys: Sequence[str] = ("stop",)) -> DataFrame:
-    """Trips, daytime departures, departures per hour, and the first ten routes by name."""
+def stop_frequency(calls: DataFrame, route: str, keys: Sequence[str] = ("stop",), most_routes: int | None = None) -> DataFrame:
+    """Trips, daytime departures, departures per hour, and the routes by name (all, unless a limit is given)."""
     day = F.col("hour").between(*DAY_HOURS)
     base = calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("trips_day"), F.count_if(day).alias("deps_day"))
     names = calls.select(*keys, route).distinct()
-    top = first_per(names, keys, [F.col(route)], ROUTE_CAP)
+    top = names if most_routes is None else first_per(names, keys, [F.col(route)], most_routes)
     lists = top.groupBy(*keys).agg(F.array_sort(F.collect_list(route)).alias("routes"))
     n_hours = DAY_HOURS[1] - DAY_HOURS[0] + 1
     return base.join(lists, list(keys)).withColumn("per_hour", F.round(F.col("deps_day") / n_hours, 2))
@@ -120,7 +118,7 @@ def busiest_window(calls: DataFrame, keys: Sequence[str], width: int = 59) -> Da
 
 
 def station_links(calls: DataFrame) -> DataFrame:
-    """Direct pairs: trains, and the median minutes of the first 40 samples by trip.
+    """Direct pairs: trains, and the median minutes of all rides.
 
     Past-midnight rides gain a day; rides over ten hours are dropped.
     """
@@ -128,6 +126,5 @@ def station_links(calls: DataFrame) -> DataFrame:
     ride = F.col("dest_minute") - F.col("minute")
     pairs = onward_pairs(stops, ("minute",)).withColumn("_mins", F.when(ride < 0, ride + 1440).otherwise(ride)).filter(F.col("_mins") <= 600)
     trains = pairs.groupBy("stop", "dest").agg(F.count(F.lit(1)).alias("trains_day"))
-    sample = first_per(pairs.select("stop", "dest", "trip", "_mins"), ["stop", "dest"], [F.col("trip")], SAMPLE_CAP)
-    mins = exact_quantiles(sample, ["stop", "dest"], {"m": F.col("_mins")}, {"m": ("m", None)})
+    mins = exact_quantiles(pairs.select("stop", "dest", "_mins"), ["stop", "dest"], {"m": F.col("_mins")}, {"m": ("m", None)})
     return trains.join(mins.select("stop", "dest", F.col("m_med").alias("minutes")), ["stop", "dest"])

@@ -127,7 +127,7 @@ def planning_layer(areas: DataFrame, rents: DataFrame, rates: DataFrame, stock:
     `stock` code, stock; `ratio` code, ratio.
     """
     moved = L.rekey_by_name(rents, areas, "code", "nm").select(F.col("new_code").alias("code"), "rent")
-    one = rates.groupBy("nm").agg(F.first(F.struct("rate_status", "typical", "mayoral", "scheduled", "adopted")).alias("_r")).select("nm", "_r.*")
+    one = rates.groupBy("nm").agg(F.min(F.struct("rate_status", "typical", "mayoral", "scheduled", "adopted")).alias("_r")).select("nm", "_r.*")
     joined = areas.join(moved, "code", "left").join(one, "nm", "left").join(stock, "code", "left").join(ratio, "code", "left")
     status = C.cil_status(F.col("code"), F.col("rate_status"), F.col("scheduled"), F.col("adopted"))
     factor, need = A.housing_need(F.col("stock"), F.col("ratio"))

@@ -37,22 +37,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, columns: dict[str, Sequence[str]], preamble: int = 12, contains: bool = True
+    spark: SparkSession, path: str, columns: dict[str, Sequence[str]], contains: bool = True
 ) -> DataFrame:
     """Canonical string columns from tab- or comma-separated files with preamble rows.
 
-    The header is the first of the opening lines in which the first canonical
-    column is found; files without one (HTML error pages) give no rows. Only
+    The header is the first line in which the first canonical column is found,
+    however many lines stand before it; files without one (HTML error pages) give no rows. Only
     the few distinct header lines reach the driver. One record per line.
     """
     lines = read_lines(spark, path)
     first_names = next(iter(columns.values()))
-    opening = Window.partitionBy("file").orderBy("pos")
-    top = (
-        lines.filter(F.col("block") == 0)
-        .withColumn("_n", F.row_number().over(opening))
-        .filter(F.col("_n") <= preamble)
-    )
+    top = lines.filter(F.col("block") == 0)
     lowered = F.lower("line")
     wanted = F.lit(False)
     for name in first_names:
