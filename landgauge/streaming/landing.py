@@ -5,19 +5,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from landgauge.sources.tables import upsert
 
 
+def committed_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the table versions whose write was committed, in order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS")))
+
+
 def stream_upsert(
     stream: DataFrame, path: str, keys: Sequence[str], order: str, checkpoint: str, watermark: tuple[str, str] | None = None
 ) -> StreamingQuery:
     """Applies every micro-batch as an upsert; each batch writes a new table version.
 
-    The version folder is named by the batch number, so a batch that is run
-    again after a failure rewrites the same version and the result stays exact.
+    A batch goes on from the last committed version, whatever the checkpoint's
+    own count, so a fresh checkpoint keeps the table. The upsert is idempotent:
+    a batch that is run again after a failure changes nothing. A version whose
+    write was cut short has no commit marker and is never read.
     """
     if watermark is not None:
         column, delay = watermark
@@ -25,12 +37,10 @@ def stream_upsert(
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = batch
-        if number > 0:
-            merged = upsert(spark.read.parquet(f"{path}/batch={number - 1}"), batch, keys, order, by_order=True)
-        else:
-            merged = upsert(batch.limit(0), batch, keys, order, by_order=True)
-        merged.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done = committed_versions(spark, path)
+        base = spark.read.parquet(f"{path}/batch={done[-1]}") if done else batch.limit(0)
+        merged = upsert(base, batch, keys, order, by_order=True)
+        merged.write.mode("overwrite").parquet(f"{path}/batch={done[-1] + 1 if done else 0}")
 
     return (
         stream.writeStream.foreachBatch(apply)
@@ -41,7 +51,5 @@ def stream_upsert(
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The table after the last finished batch."""
-    versions = spark.read.parquet(path)
-    last = versions.agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{path}/batch={last}")
+    """The table after the last committed batch."""
+    return spark.read.parquet(f"{path}/batch={committed_versions(spark, path)[-1]}")
