@@ -146,10 +146,8 @@ def norm_name(col: Column, profile: str = "alnum") -> Column:
         low = F.regexp_replace(low, rf"\b({COUNCIL_WORDS})\b", " ")
         return _spaces(F.regexp_replace(low, " and ", " "))
     if profile == "gridsite":
-        for word in SITE_WORDS:
-            low = F.replace(low, F.lit(word), F.lit(" "))
-        low = F.regexp_replace(low, r"\b\d+\s*k?v\b", " ")
-        return F.regexp_replace(low, "[^a-z0-9]+", "")
+        plain = F.regexp_replace(low, "|".join(re.escape(w) for w in SITE_WORDS), " ")
+        return F.regexp_replace(plain, r"\b\d+\s*k?v\b|[^a-z0-9]+", "")
     raise ValueError(profile)
 
 
@@ -332,13 +330,19 @@ def tidy_text(col: Column, n: int | None = None, title: bool = False) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+# How far into its year a period mark lies, in order of precedence.
+PERIOD_MARKS = {
+    "q1": 0.15, "q2": 0.4, "q3": 0.65, "q4": 0.9, "h1": 0.45, "h2": 0.9, "end": 0.9,
+    **{month: (i + 1) / 12 for i, month in enumerate(MONTHS)},
+}
+
+
 def period_score(col: Column) -> Column:
     """Rough decimal year of a free-text period; forecasts score 0, no year means 2000."""
-    s = F.lower(F.coalesce(col, F.lit("")))
-    year = F.coalesce(F.regexp_extract(s, r"(20\d\d)", 1).try_cast("double"), F.lit(2000.0))
-    quarter = F.regexp_extract(s, "q([1-4])", 1).try_cast("double")
-    frac = F.when(quarter.isNotNull(), quarter * 0.25 - 0.1).when(F.contains(s, F.lit("h1")), 0.45)
-    frac = frac.when(s.rlike("h2|end"), 0.9)
-    for i, month in enumerate(MONTHS):
-        frac = frac.when(F.contains(s, F.lit(month)), (i + 1) / 12)
-    return F.when(F.contains(s, F.lit("forecast")), 0.0).otherwise(year + frac.otherwise(0.0))
+    text = F.coalesce(F.lower(col), F.lit(""))
+    year = F.coalesce(F.regexp_extract(text, r"20\d\d", 0).try_cast("double"), F.lit(2000.0))
+    shares = F.create_map(*[F.lit(x) for mark, share in PERIOD_MARKS.items() for x in (mark, share)])
+    # the first mark of the table that the text has
+    found = F.filter(F.array(*[F.lit(mark) for mark in PERIOD_MARKS]), lambda mark: F.contains(text, mark))
+    within = F.coalesce(shares[F.get(found, F.lit(0))], F.lit(0.0))
+    return F.when(F.contains(text, F.lit("forecast")), F.lit(0.0)).otherwise(year + within)

@@ -76,6 +76,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession, low: int = 8, high: int = 512) -> int:
+def shuffle_width(spark: SparkSession, low: int = 8) -> int:
     """How many ranges a distributed ordering should be cut into."""
-    return max(low, min(high, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(low, int(spark.conf.get("spark.sql.shuffle.partitions")))
