@@ -23,7 +23,8 @@ BUCKETS, SMOOTHING = 1 << 16, 0.5
 SAMPLE_PER_DOMAIN = 4000
 # how many words' worth of evidence the mean log-likelihood of a text counts for
 EVIDENCE_WORDS = 30.0
-TOLERANCE = 1e-6
+# the fit ends when the squared distance is below TOLERANCE (of the total, squared) or falls by less than SETTLED in a round
+TOLERANCE, SETTLED = 1e-6, 0.02
 
 
 def text_key(text: Column) -> Column:
@@ -31,8 +32,11 @@ def text_key(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words by white space; the empty text has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"\s+"), lambda w: w != "")
+    """Lower-cased words between white space, with empty strings where it repeats."""
+    spaced = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    for mark in "\n\t\r":
+        spaced = F.replace(spaced, F.lit(mark), F.lit(" "))
+    return F.split(spaced, " ")  # one plain character is split at without a regular expression
 
 
 def bucket_of(word: Column) -> Column:
@@ -54,7 +58,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tupl
     per_domain = F.coalesce(*[F.when(F.col("_domain") == d, F.lit(float(sizes.get(d, 0)))) for d in domains])
     chosen = given.filter(unit_hash(F.col("_id"), F.lit("mix")) * per_domain < SAMPLE_PER_DOMAIN)
     # at most about domains x SAMPLE_PER_DOMAIN rows, so it can be held by every task
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_domain", F.explode(words_of(F.col("text"))).alias("w"))
+    sample = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_domain", F.explode(words_of(F.col("text"))).alias("w")).filter("w <> ''")
     found = cut(
         sample.groupBy(bucket_of(F.col("w")).alias("bucket")).agg(*[F.count(F.when(F.col("_domain") == d, 1)).alias(f"c_{i}") for i, d in enumerate(domains)])
     )
@@ -73,15 +77,16 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     """key, rows, tokens, p_0 .. p_k: each different text with its posterior over `domains`; a text without words has the priors."""
     table, priors = classifier(docs, labelled, domains)
     k = range(len(domains))
-    words = docs.select(text_key(F.col("text")).alias("key"), F.posexplode(words_of(F.col("text"))).alias("at", "w"))
+    words = docs.select(text_key(F.col("text")).alias("key"), F.explode(words_of(F.col("text"))).alias("w")).filter("w <> ''")
     means = (
-        words.select("key", "at", bucket_of(F.col("w")).alias("bucket"))
+        words.select("key", bucket_of(F.col("w")).alias("bucket"))
         .join(F.broadcast(table), "bucket")  # BUCKETS rows
-        .groupBy("key").agg((F.max("at") + 1).cast("long").alias("tokens"), *[F.avg(f"ll_{i}").alias(f"m_{i}") for i in k])
+        .groupBy("key").agg(F.count(F.lit(1)).alias("words"), *[F.avg(f"ll_{i}").alias(f"m_{i}") for i in k])
     )
     texts = docs.groupBy(text_key(F.col("text")).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
     both = texts.join(means, "key", "left")
-    logits = both.select("key", "rows", F.coalesce("tokens", F.lit(0)).alias("tokens"), *[(F.lit(priors[i]) + EVIDENCE_WORDS * F.coalesce(f"m_{i}", F.lit(0.0))).alias(f"l_{i}") for i in k])
+    tokens = F.round(F.coalesce("words", F.lit(0)) / F.col("rows")).cast("long")  # equal texts have equally many
+    logits = both.select("key", "rows", tokens.alias("tokens"), *[(F.lit(priors[i]) + EVIDENCE_WORDS * F.coalesce(f"m_{i}", F.lit(0.0))).alias(f"l_{i}") for i in k])
     top = F.greatest(*[F.col(f"l_{i}") for i in k]) if len(domains) > 1 else F.col("l_0")
     raised = logits.select("key", "rows", "tokens", *[F.exp(F.col(f"l_{i}") - top).alias(f"e_{i}") for i in k])
     total = sum((F.col(f"e_{i}") for i in k), F.lit(0.0))
@@ -145,9 +150,11 @@ def fit_rates(members: DataFrame, shares: list[float], low: float, high: float,
             other, _, _ = sums(plain, F.lit(True))
             if float(((target - other) ** 2).sum()) < float(((target - new) ** 2).sum()):
                 tried, new = plain, other
-        if float(((target - new) ** 2).sum()) >= distance * (1 - 1e-3):  # no further progress: the targets are out of reach
+        left = float(((target - new) ** 2).sum())
+        if left < distance:
+            now, totals = tried, new
+        if left > distance * (1 - SETTLED):  # hardly any progress: the targets are out of reach
             break
-        now, totals = tried, new
     return now, target.tolist(), totals.tolist()
 
 
