@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgauge.llm import mixing, ngram_join, packing, substring, toxicity
-from landgauge.session import configure, cut_lineage
+from landgauge.llm.scratch import cut, prepare
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,7 +18,7 @@ QUALITY_WEIGHTS = {"good": 0.9, "low": 0.1}
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id."""
-    configure(spark)
+    prepare(spark)
     return ngram_join.drop_near_copies(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stretches of text that stand in several documents stay in the first of them only; every document stays."""
-    configure(spark)
+    prepare(spark)
     return substring.drop_repeats(docs)
 
 
@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents with their places in sequences of at most 4096 tokens."""
-    configure(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 
@@ -65,7 +65,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of `sf_dir`, each written and read again."""
-    docs = configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

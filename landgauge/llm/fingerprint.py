@@ -176,7 +176,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(row)
                 size += len(row[3])
-                if size > 2_000_000 and len(held) > 1:
+                if size > 400_000 and len(held) > 1:
                     yield rows(held)
                     held = held[-1:]
                     size = len(held[0][3])

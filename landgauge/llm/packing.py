@@ -71,15 +71,18 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and which word each is
         self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """`hashes` are sorted and new."""
         found = self.whole(words)
-        self.known.update(zip(hashes.tolist(), range(len(self.known), len(self.known) + len(words))))
+        at = np.searchsorted(self.known, hashes)
+        self.place = np.insert(self.place, at, np.arange(len(self.known), len(self.known) + len(words), dtype=np.int32))
+        self.known = np.insert(self.known, at, hashes)
         self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum([len(x) for x in found])]
         self.ids = np.concatenate([self.ids, *found])
 
@@ -117,11 +120,14 @@ class Encoder:
         unique, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.MOST:
             self.reset()
-        fresh = np.array([h not in self.known for h in unique.tolist()], bool)
+        at = np.searchsorted(self.known, unique)
+        fresh = np.ones(len(unique), bool)
+        inside = at < len(self.known)
+        fresh[inside] = self.known[at[inside]] != unique[inside]
         if fresh.any():
             text = lower.tobytes().decode("utf-32-le")
             self.learn(unique[fresh], [text[starts[i] : stops[i]] for i in first[fresh]])
-        index = np.array([self.known[h] for h in unique.tolist()], np.int64)[place]
+        index = self.place[np.searchsorted(self.known, unique)].astype(np.int64)[place]
         sizes = self.begin[index + 1] - self.begin[index]
         ends = np.r_[0, np.cumsum(sizes)]
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[index] - ends[:-1], sizes)]
@@ -237,7 +243,7 @@ def take_slots(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         "length", "_g", (F.sum("_n").over(Window.partitionBy("length").orderBy("_g")) - F.col("_n")).alias("_before")
     )
     own = F.row_number().over(Window.partitionBy("length", "_g").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = marked.withColumn("_own", own).join(before, ["length", "_g"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
+    ranked = marked.withColumn("_own", own).join(before.hint("merge"), ["length", "_g"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
     names = pieces.columns
     source = ranked.select(*names, "_rank")
     where = names.index("length")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgauge.llm import fingerprint, htmltext, langid, mixing, ngram_join, packing, substring, topk, toxicity, warc
-from landgauge.session import configure
+from landgauge.llm.scratch import prepare
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 # Domains that the labels table tells apart, and the weights that op6 mixes them to.

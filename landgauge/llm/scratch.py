@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landgauge.session import cut_lineage
+from landgauge.session import configure, cut_lineage
+
+# whole texts can be long, so a batch that goes to Python holds fewer rows than Spark's default
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session with the settings that the operators assume."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
 
 
 def cut(df: DataFrame) -> DataFrame:

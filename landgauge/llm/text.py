@@ -17,7 +17,7 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 # texts are cut into batches of about this many code points before they are laid end to end
-FLAT_CHARS = 2_000_000
+FLAT_CHARS = 400_000
 
 
 @cache
