@@ -2,17 +2,17 @@
 
 Paragraphs are of two grains. A natural paragraph is a line of at least
 MIN_WORDS words. Passages are also quoted inside longer lines, where their
-neighbours hide them from any comparison of lines; so such lines are cut a
-second time at places that depend on the nearby words alone (a word pair whose
-hash is the smallest within REACH words), and a quoted passage is cut alike
-wherever it stands.
+neighbours hide them from any comparison of lines, or wrapped over short ones;
+so whole texts are cut a second time, without regard to line breaks, at places
+that depend on the nearby words alone (a word pair whose hash is the smallest
+within REACH words), and a quoted passage is cut alike wherever it stands.
 
 Lines are banded over MinHash signatures of their five-word shingles, colliding
 lines are tied together, all pairs within a candidate group are verified by
 exact Jaccard in bounded blocks, and the components of verified pairs are the
-classes. Cuts of a line are too short for a changed word to leave them alike,
-so they are banded by the whole sequence of their words; neighbouring cuts that
-repeat neighbouring cuts of one document make up a passage.
+classes. From each cut a window runs to the next cut that gives it MIN_WORDS
+words; windows are banded by the whole sequence of their words, and windows
+that touch and repeat one place alike make up a passage.
 
 Of each class the first occurrence (smallest document id, then position) stays.
 """
@@ -62,38 +62,57 @@ def content_cuts(hashes: np.ndarray, first: np.ndarray, reach: int) -> np.ndarra
     return best
 
 
+def windows(hashes: np.ndarray, texts: np.ndarray, lines: np.ndarray, least: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, one past the last) of stretches of `least` words and a few more, cut at content-defined places.
+
+    texts and lines hold the index of each first word, and one past the last
+    word. Line breaks don't move the cuts. From every cut and every line start a
+    stretch runs to the next cut that makes it long enough, and one ends with
+    each line. Any `least` words between two cuts that stand in two places thus
+    have a stretch in common, whatever else repeats there.
+    """
+    cuts = np.flatnonzero(content_cuts(hashes, texts, reach))
+    starts, stops = np.union1d(cuts, lines[:-1]), np.r_[cuts, len(hashes)]
+    starts = starts[starts + least <= texts[np.searchsorted(texts, starts, "right")]]
+    until = stops[np.searchsorted(stops, starts + least)]
+    ends = lines[1:]
+    ends = ends[texts[np.searchsorted(texts, ends) - 1] + least <= ends]
+    since = cuts[np.searchsorted(cuts, ends - least, "right") - 1]
+    both = np.unique(np.r_[starts, since] * (len(hashes) + 1) + np.r_[until, ends])
+    return both // (len(hashes) + 1), both % (len(hashes) + 1)
+
+
 def units(docs: DataFrame, min_words: int, reach: int, bands: int, rows: int) -> DataFrame:
-    """Lines of min_words words and more, with band keys, and the pieces they are cut into."""
+    """Lines of min_words words and more, with band keys, and the windows of whole texts."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for begin, _, texts in in_batches(batch.column(1)):
                 words = Words(texts)
+                if not len(words.start):
+                    continue
                 first = line_starts(words)
+                starts, stops = windows(words.hash, np.unique(words.first), first, min_words, reach)
                 long = np.flatnonzero(np.diff(first) >= min_words)
-                if not len(long):
-                    continue
                 a, b = first[long], first[long + 1]
                 # the long lines' words, end to end
                 sizes = b - a
                 edge = np.r_[0, np.cumsum(sizes)]
                 take = np.arange(edge[-1]) + np.repeat(a - edge[:-1], sizes)
-                hashes = words.hash[take]
-                grams, offsets = shingles(hashes, edge, N)
+                grams, offsets = shingles(words.hash[take], edge, N)
                 keys = minhash.band_keys(grams, offsets, bands, rows)
-                starts = np.flatnonzero(content_cuts(hashes, edge, reach))
-                stops = np.r_[starts[1:], len(hashes)]
-                at = take - words.first[words.text[take]]  # word offset in its document
-                doc = ids[begin + words.text[take]]
+                at = np.arange(len(words.start)) - words.first[words.text]  # word offset in its document
+                doc = ids[begin + words.text]
                 lines, pieces = len(long), len(starts)
+                begins, ends = np.r_[a, starts], np.r_[b, stops]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.r_[np.ones(lines, bool), np.zeros(pieces, bool)]),
-                        pa.array(np.r_[segment_hash(hashes, edge[:-1], edge[1:]), segment_hash(hashes, starts, stops)].view(np.int64)),
-                        pa.array(np.r_[doc[edge[:-1]], doc[starts]]),
-                        pa.array(np.r_[at[edge[:-1]], at[starts]].astype(np.int32)),
-                        pa.array(np.r_[sizes, stops - starts].astype(np.int32)),
+                        pa.array(segment_hash(words.hash, begins, ends).view(np.int64)),
+                        pa.array(doc[begins]),
+                        pa.array(at[begins].astype(np.int32)),
+                        pa.array((ends - begins).astype(np.int32)),
                         list_array(keys.ravel(), np.r_[np.arange(lines + 1) * bands, np.full(pieces, lines * bands)]),
                     ],
                     names=["is_line", "key", "doc", "at", "n", "bands"],
@@ -159,28 +178,33 @@ def line_classes(found: DataFrame, docs: DataFrame, threshold: float) -> DataFra
     return cut(named.select("key", "root").join(totals, "root").select("key", F.col("k.doc").alias("k_doc"), F.col("k.at").alias("k_at"), "members"))
 
 
-def passages(found: DataFrame, min_words: int) -> DataFrame:
-    """doc, at, n, k_doc, k_at: runs of pieces of `min_words` words and more that repeat, with their first occurrence."""
+def passages(found: DataFrame) -> DataFrame:
+    """doc, at, n, k_doc, k_at: runs of windows that repeat, with their first occurrence.
+
+    A window is judged as a whole, so a part of it that stands in an earlier
+    document too doesn't hide it. Windows that touch and repeat the same place
+    make one run; a window that overlaps its own first occurrence is no repeat.
+    """
     pieces = found.filter("not is_line").select("key", "doc", "at", "n")
     repeated = cut(
         pieces.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("k"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key", F.col("k.doc").alias("k_doc"), F.col("k.at").alias("k_at"))
     )
-    seen = pieces.join(repeated, "key").drop("key").dropDuplicates(["doc", "at"])
-    order = Window.partitionBy("doc").orderBy("at")
-    apart = (F.lag(F.col("at") + F.col("n")).over(order) != F.col("at")) | (F.lag("k_doc").over(order) != F.col("k_doc")) | (F.lag(F.col("k_at") + F.col("n")).over(order) != F.col("k_at"))
-    runs = seen.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        runs.groupBy("doc", "_run").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min("k_doc").alias("k_doc"), F.min("k_at").alias("k_at"))
-        .filter(F.col("n") >= min_words).drop("_run")
-    )
+    seen = pieces.join(repeated, "key").drop("key").dropDuplicates(["doc", "at", "n"]).withColumn("_by", F.col("at") - F.col("k_at"))
+    apart = seen.filter((F.col("doc") != F.col("k_doc")) | (F.col("_by") == 0) | (F.col("_by") >= F.col("n")))
+    order = Window.partitionBy("doc", "k_doc", "_by").orderBy("at", "n")
+    reached = F.max(F.col("at") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = apart.withColumn("_new", F.coalesce(F.col("at") > reached, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "k_doc", "_by", "_run").agg(
+        F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).cast("int").alias("n"), F.min("k_at").alias("k_at")
+    ).drop("_by", "_run")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, reach: int = REACH) -> DataFrame:
     """One row per repeated stretch: doc_id, grain, first_word, n_words, kept_doc_id, kept_word, removed.
 
     grain is `paragraph` (a line alike to others, five-word Jaccard `threshold`
-    or more) or `passage` (words that stand inside lines of several places
-    alike). first_word counts the words of the document from 0; kept_doc_id and
+    or more) or `passage` (words that stand in several places alike, however
+    their lines are broken). first_word counts the words of the document from 0; kept_doc_id and
     kept_word tell the occurrence that stays, for which removed is false.
     Stretches of fewer than `min_words` words are left alone. Rows with a null
     doc_id or text take no part; rows of one doc_id count as one document;
@@ -190,7 +214,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRE
     found = cut(units(docs, min_words, reach, bands, rows))
     classes = line_classes(found, docs, threshold)
     paragraphs = found.filter("is_line").select("key", "doc", "at", "n").join(classes, "key").select(F.lit("paragraph").alias("grain"), "doc", "at", "n", "k_doc", "k_at")
-    inside = passages(found, min_words).select(F.lit("passage").alias("grain"), "doc", "at", "n", "k_doc", "k_at")
+    inside = passages(found).select(F.lit("passage").alias("grain"), "doc", "at", "n", "k_doc", "k_at")
     away = (F.col("doc") != F.col("k_doc")) | (F.col("at") != F.col("k_at"))
     both = paragraphs.unionByName(inside)
     return both.select(

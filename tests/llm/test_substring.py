@@ -47,6 +47,29 @@ def test_lines_that_are_nearly_alike_form_one_class(spark):
     assert {(r.doc_id, r.kept_doc_id, r.removed) for r in got} == {(i, 0, i > 0) for i in range(12)}
 
 
+def wrapped(rng, ws, least, most):
+    """The words over lines of least to most words each."""
+    out = []
+    while ws:
+        n = rng.randrange(least, most + 1)
+        out.append(" ".join(ws[:n]))
+        ws = ws[n:]
+    return "\n".join(out)
+
+
+def test_a_passage_over_short_lines_is_found_however_it_is_wrapped(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(20):
+        passage = text(rng, 64).split()
+        rows += [(10 * k + j, f"{wrapped(rng, text(rng, 30).split() + passage + text(rng, 30).split(), 5, 12)}") for j in range(2)]
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {r.doc_id: r for r in got if r.removed}
+    assert len(removed) >= 19
+    assert all(r.kept_doc_id == d - 1 and 20 <= r.n_words <= 64 for d, r in removed.items())
+    assert sum(r.n_words for r in removed.values()) >= 0.7 * 64 * 20
+
+
 def test_repeats_of_the_small_documents(documents):
     rows = {r.doc_id: words(r.text) for r in documents.collect()}
     got = substring.repeats(documents).collect()
