@@ -70,6 +70,20 @@ def test_a_passage_over_short_lines_is_found_however_it_is_wrapped(spark):
     assert sum(r.n_words for r in removed.values()) >= 0.7 * 64 * 20
 
 
+def test_a_part_that_stands_in_an_earlier_document_hides_no_passage(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(20):
+        passage = text(rng, 60)
+        phrase = " ".join(passage.split()[21:39])  # too short to count by itself
+        rows.append((100 * k, f"{text(rng, 30)} {phrase} {text(rng, 30)}"))
+        rows += [(100 * k + j, f"{text(rng, 30)} {passage} {text(rng, 30)}") for j in (1, 2)]
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = [r for r in got if r.removed]
+    assert {(r.doc_id % 100, r.kept_doc_id % 100) for r in removed} == {(2, 1)}
+    assert sum(r.n_words for r in removed) >= 0.7 * 60 * 20
+
+
 def test_repeats_of_the_small_documents(documents):
     rows = {r.doc_id: words(r.text) for r in documents.collect()}
     got = substring.repeats(documents).collect()
