@@ -53,7 +53,12 @@ SHOWN_INPUTS = frozenset(["", "text", "search", "url", "tel", "email", "number",
 MOST_COLUMNS, MOST_ROWS = 1000, 65534  # the standard's bounds of colspan and rowspan
 
 SPACES = re.compile(r"[ \t\n\r\f]+")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+# in style sheets: what holds no rule (comments, strings, comment marks of HTML), and what ends a piece
+ASIDE = re.compile(r"""(?s)/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|<!--|-->""")
+MARK = re.compile(r"[{};]")
+MEDIA = re.compile(r"(not\s+|only\s+)?([a-z-]+)?\s*((?:(?:and\s*)?\([^()]*\)\s*)*)$")
+WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*(\d*\.?\d+)(px|em|rem)\s*\)$")
+SCREEN_WIDTH = 1280  # pixels of the screen that pages are shown on
 SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
 
 
@@ -165,7 +170,8 @@ class TreeBuilder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.stack[-1].tag == "style":
-            self.sheets.append(data)
+            if media_holds(self.stack[-1].attrs.get("media", "")):
+                self.sheets.append(data)
         elif self.stack[-1].tag not in HEAD_ONLY and (self.body is None or self.open.get("head")):
             if not data.strip(" \t\n\r\f"):
                 return
@@ -185,11 +191,60 @@ def declarations(style: str) -> dict[str, str]:
     return {k.strip(): v.replace("!important", "").strip() for k, mark, v in pairs if mark}
 
 
+def media_holds(query: str) -> bool:
+    """Whether a list of media queries surely holds for a screen SCREEN_WIDTH wide.
+
+    Types and widths are judged; what speaks of anything else counts as not holding.
+    """
+
+    def one(text: str) -> bool:
+        m = MEDIA.match(text)
+        if not m:
+            return False
+        prefix, kind, features = (m[1] or "").strip(), m[2] or "all", re.findall(r"\([^()]*\)", m[3])
+        if kind not in ("all", "screen"):
+            return prefix == "not"
+        known = [WIDTH.match(f) for f in features]
+        each = [(float(k[2]) * (1 if k[3] == "px" else 16) <= SCREEN_WIDTH) if k[1] == "min" else (float(k[2]) * (1 if k[3] == "px" else 16) >= SCREEN_WIDTH) for k in known if k]
+        if prefix == "not":
+            return not all(each)
+        return all(known) and all(each)
+
+    return not query.strip() or any(one(q.strip()) for q in query.lower().split(","))
+
+
+def at_rule_holds(head: str) -> bool:
+    """Whether the style rules inside an at-rule count; what is no group of style rules (keyframes, pages, fonts) never does."""
+    name, _, rest = re.sub(r"^@([\w-]+)\s*", r"\1 ", head.lower()).partition(" ")
+    return name == "layer" or name == "media" and media_holds(rest) or name == "supports" and not re.search(r"\bnot\b", rest)
+
+
+def rules_in_force(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the style rules of a sheet that hold on a screen; those inside other style rules are left out."""
+    sheet = ASIDE.sub(" ", sheet)
+    open_blocks: list[str] = []  # "on": a group that holds, "rule": a style rule, "off": neither
+    at, selectors, body = 0, "", []
+    for m in MARK.finditer(sheet):
+        piece, at = sheet[at : m.start()], m.end()
+        if m[0] == "{":
+            if open_blocks and open_blocks[-1] != "on":
+                open_blocks.append("off")
+            elif piece.strip().startswith("@"):
+                open_blocks.append("on" if at_rule_holds(piece.strip()) else "off")
+            else:
+                open_blocks.append("rule")
+                selectors, body = piece, []
+        elif open_blocks and open_blocks[-1] == "rule":
+            body.append(piece)
+        if m[0] == "}" and open_blocks and open_blocks.pop() == "rule":
+            yield selectors, ";".join(body)
+
+
 def hiding_rules(sheets: list[str]) -> list[tuple[str, frozenset[str], frozenset[str], dict[str, str]]]:
     """(tag, classes, ids, declarations) of the simple selectors that speak of display, visibility or opacity."""
     out = []
     for sheet in sheets:
-        for selectors, body in RULE.findall(re.sub(r"(?s)/\*.*?\*/", "", sheet)):
+        for selectors, body in rules_in_force(sheet):
             found = {k: v for k, v in declarations(body).items() if k in ("display", "visibility", "opacity", "content-visibility")}
             for one in selectors.split(",") if found else ():
                 m = SIMPLE.match(one.strip())

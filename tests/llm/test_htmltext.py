@@ -36,6 +36,37 @@ def test_layout(html, text):
     assert html_to_text(html) == text
 
 
+HIDE = ".h { display: none }"
+
+
+@pytest.mark.parametrize(
+    "sheet,hidden",
+    [
+        (HIDE, True),
+        (f"@media print {{ {HIDE} }}", False),
+        (f"@media (max-width: 600px) {{ {HIDE} }}", False),
+        (f"@media only screen and (max-width:40em){{.x{{color:red}}{HIDE}}}", False),
+        (f"@media screen and (orientation: landscape) {{ {HIDE} }}", False),
+        (f"@media print {{ @supports (display: grid) {{ {HIDE} }} }}", False),
+        (f"@media print {{ .x {{ color: red }} }} {HIDE}", True),
+        (f"@media screen and (min-width: 600px) {{ {HIDE} }}", True),
+        (f"@media print, screen {{ {HIDE} }}", True),
+        (f"@media not print {{ {HIDE} }}", True),
+        (f"@media not screen {{ {HIDE} }}", False),
+        (f"@import url(x.css); @layer base {{ {HIDE} }}", True),
+        (".x::before { content: '}' } @media print { .y { content: '{' } .h { display: none } }", False),
+        (".h { color: red; @media print { display: none } }", False),
+    ],
+)
+def test_conditional_rules_hide_only_what_a_screen_hides(sheet, hidden):
+    assert html_to_text(f"<style>{sheet}</style><p class=h>menu<p>rest") == ("rest" if hidden else "menu\n\nrest")
+
+
+def test_style_elements_for_other_media():
+    assert html_to_text(f"<style media=print>{HIDE}</style><p class=h>menu") == "menu"
+    assert html_to_text(f"<style media=screen>{HIDE}</style><p class=h>menu") == ""
+
+
 def test_deep_nesting_and_huge_spans():
     assert html_to_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     assert html_to_text("<ul><li>" * 500 + "x").endswith("- x")
