@@ -22,54 +22,91 @@ from pyspark.sql import functions as F
 from landgauge.llm.scratch import cut, width
 from landgauge.llm.text import U64, Words, in_batches, mix, shingles
 
-SAMPLES, TERM_BITS, SEED = 64, 16, 20240501
+SAMPLES, TERM_BITS, SEED = 64, 62, 20240501
+CHUNK = 2048  # terms drawn for at a time
 NO_ID = -(1 << 63)
 
 
 @cache
-def variates() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(r, b, ln c, value at weight 1) per term bucket and sample, drawn from a fixed seed."""
-    shape = (1 << TERM_BITS, SAMPLES)
-    draw = np.random.Generator(np.random.PCG64(SEED))
-    u = [np.maximum(draw.random(shape, np.float32), np.float32(1e-7)) for _ in range(5)]
-    r, ln_c, b = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
-    return r, b, ln_c, ln_c + r * b - r  # ln 1 = 0, so the level of weight 1 is floor(b) = 0
+def seeds() -> tuple[np.ndarray, np.ndarray]:
+    """Two seeds per sample."""
+    both = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U64) * U64(0x632BE59BD9B4E019) + U64(SEED))
+    return both[:SAMPLES], both[SAMPLES:]
+
+
+def variates(term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r, b, ln c) per term and sample, drawn from hashes of the term itself."""
+    spread = (term.astype(U64) * U64(0x9E3779B97F4A7C15))[:, None]
+
+    def hashed(seed: np.ndarray) -> np.ndarray:
+        x = spread ^ seed
+        x *= U64(0xBF58476D1CE4E5B9)
+        x ^= x >> U64(32)
+        x *= U64(0x94D049BB133111EB)
+        x ^= x >> U64(29)
+        return x
+
+    def uniform(hashes: np.ndarray, shift: int, bits: int) -> np.ndarray:
+        """In steps that a float holds exactly, neither 0 nor 1."""
+        out = ((hashes >> U64(shift)).astype(np.uint32) & np.uint32((1 << bits) - 1)).astype(np.float32)
+        out += np.float32(0.5)
+        out *= np.float32(2.0**-bits)
+        return out
+
+    one, two = (hashed(seed) for seed in seeds())
+    r = uniform(one, 43, 21)
+    r *= uniform(one, 22, 21)
+    c = uniform(two, 41, 23)
+    c *= uniform(two, 18, 23)
+    for x in (r, c):
+        np.negative(np.log(x, out=x), out=x)
+    return r, uniform(one, 1, 21), np.log(c, out=c)
 
 
 def terms(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, weight, offsets) of the distinct terms of each unit: word pairs, or the word of a text that has one only."""
+    """(hash, weight, offsets) of the distinct terms of each unit: word pairs, or the word of a text that has one only."""
     pairs, offsets = shingles(words, first, 2)
-    bucket = (pairs >> U64(64 - TERM_BITS)).astype(np.int64)
+    term = (pairs >> U64(64 - TERM_BITS)).astype(np.int64)
     unit = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keys, weight = np.unique(unit << TERM_BITS | bucket, return_counts=True)
-    return keys & ((1 << TERM_BITS) - 1), weight, np.searchsorted(keys >> TERM_BITS, np.arange(len(offsets)))
+    order = np.lexsort((term, unit))
+    term, unit = term[order], unit[order]
+    fresh = np.ones(len(term), bool)
+    fresh[1:] = (term[1:] != term[:-1]) | (unit[1:] != unit[:-1])
+    at = np.flatnonzero(fresh)
+    return term[at], np.diff(np.r_[at, len(term)]), np.searchsorted(unit[at], np.arange(len(offsets)))
 
 
-def sample(bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def sample(term: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """uint32 [SAMPLES]: hash of the sampled (term, level); zeros where there is no term."""
-    if not len(bucket):
+    if not len(term):
         return np.zeros(SAMPLES, np.uint32)
-    r, b, ln_c, light = variates()
-    value = light[bucket]
-    heavy = np.flatnonzero(weight > 1)
-    level = np.zeros((0, SAMPLES))
-    if len(heavy):
-        rows = bucket[heavy]
-        level = np.floor(np.log(weight[heavy])[:, None] / r[rows] + b[rows])
-        value[heavy] = ln_c[rows] - r[rows] * (level - b[rows]) - r[rows]
-    chosen = value.argmin(axis=0)
-    levels = np.zeros(SAMPLES, np.int64)
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, chosen), len(heavy) - 1)
-        levels = np.where(heavy[at] == chosen, level[at, np.arange(SAMPLES)], 0).astype(np.int64)
-    return (mix((bucket[chosen].astype(U64) << U64(32)) ^ levels.astype(U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+    least, across = np.full(SAMPLES, np.inf), np.arange(SAMPLES)
+    chosen, levels = np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
+    for begin in range(0, len(term), CHUNK):
+        own, w = term[begin : begin + CHUNK], weight[begin : begin + CHUNK]
+        r, b, ln_c = variates(own)
+        value = ln_c + r * (b - 1)  # ln 1 = 0, so the level of weight 1 is floor(b) = 0
+        heavy = np.flatnonzero(w > 1)
+        level = np.floor(np.log(w[heavy])[:, None] / r[heavy].astype(np.float64) + b[heavy])
+        value[heavy] -= r[heavy] * level
+        low = value.argmin(axis=0)
+        better = value[low, across] < least
+        least = np.where(better, value[low, across], least)
+        chosen = np.where(better, own[low], chosen)
+        if len(heavy):
+            place = np.minimum(np.searchsorted(heavy, low), len(heavy) - 1)
+            low_level = np.where(heavy[place] == low, level[place, across], 0).astype(np.int64)
+        else:
+            low_level = np.zeros(SAMPLES, np.int64)
+        levels = np.where(better, low_level, levels)
+    return (mix(mix(chosen.astype(U64)) + levels.astype(U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def signatures(texts: list[str]) -> np.ndarray:
     """uint32 [texts, SAMPLES]."""
     words = Words(texts)
-    bucket, weight, offsets = terms(words.hash, words.first)
-    return np.array([sample(bucket[a:b], weight[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.uint32).reshape(-1, SAMPLES)
+    term, weight, offsets = terms(words.hash, words.first)
+    return np.array([sample(term[a:b], weight[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.uint32).reshape(-1, SAMPLES)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -45,6 +45,14 @@ def test_collision_rate_is_the_generalised_jaccard_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.09
 
 
+def test_long_texts_that_share_no_word_pair_are_not_alike():
+    a, b = (" ".join(f"{c}{i}" for i in range(60_000)) for c in "ab")
+    x, y = P.signatures([a, b])
+    assert (x == y).sum() == 0
+    x, y = P.signatures([a, a + " " + b])  # half of the pairs are shared
+    assert abs((x == y).mean() - 0.5) < 0.2
+
+
 def test_odd_rows(odd_docs, empty_docs, spark):
     got = P.compare_edited(odd_docs.withColumn("id", F.lit(1)).withColumn("part", F.lit("x")).withColumn("guest", F.lit(2))).collect()
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
