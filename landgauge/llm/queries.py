@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgauge.llm import fingerprint, htmltext, langid, mixing, ngram_join, packing, substring, topk, toxicity, warc
+from landgauge.llm import fingerprint, htmltext, langid, mixing, ngram_join, packing, runs, substring, topk, toxicity, warc
 from landgauge.llm.scratch import prepare
 
 
@@ -92,6 +92,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of runs, the run of most periods and digests of every damaged document."""
+    return runs.run_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_index": op2_warc_index,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op7_exact_topk": OP7_SQL}
