@@ -84,19 +84,35 @@ def _matches(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+def lag_tests(word: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(lag, places) for every lag with places, multiples of the lag, where it may hold for lag + 1 words; by lag.
+
+    Lags from some power of two to the next are tested together, on at most 2 * len(word) places.
+    """
+    n, low = len(word), 1
+    while low <= n // MIN_PERIODS:
+        lags = np.arange(low, min(2 * low, n // MIN_PERIODS + 1))
+        place = np.arange(n // low)[:, None] * lags
+        lag = np.broadcast_to(lags, place.shape)
+        inside = place + 2 * lag < n
+        place, lag = place[inside], lag[inside]
+        # three words a lag apart, then some more within the same period
+        for part in (0, 8, 4, 2, 6, 1, 3, 5, 7):
+            at = place + part * lag // 8
+            same = word[at] == word[at + lag]
+            place, lag = place[same], lag[same]
+        order = np.lexsort((place, lag))
+        place, lag = place[order], lag[order]
+        for own in np.split(np.arange(len(lag)), np.flatnonzero(np.diff(lag)) + 1) if len(lag) else ():
+            yield int(lag[own[0]]), place[own]
+        low *= 2
+
+
 def scan(word: np.ndarray) -> list[Run]:
     """The runs of a whole segment, by period and start."""
     found: dict[int, list[tuple[int, int]]] = {}
     n = len(word)
-    for q in range(1, n // MIN_PERIODS + 1):
-        sampled = word[::q]
-        same = sampled[1:] == sampled[:-1]
-        place = np.flatnonzero(same[1:] & same[:-1]) * q
-        if not len(place):
-            continue
-        for part in range(1, 8):  # more places of the same period, before any is looked at one by one
-            inside = place + part * q // 8
-            place = place[word[inside] == word[inside + q]]
+    for q, place in lag_tests(word):
         covers = [span for d, spans in found.items() if q % d == 0 for span in spans]
         for a, b in covers:
             place = place[(place < a) | (place + 2 * q >= b)]
