@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgauge.llm import fingerprint, htmltext, langid, mixing, ngram_join, packing, runs, substring, topk, toxicity, warc
+from landgauge.llm import fingerprint, htmltext, langid, linededup, mixing, ngram_join, packing, runs, substring, topk, toxicity, warc
 from landgauge.llm.scratch import prepare
 
 
@@ -97,6 +97,26 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.run_digests(table(spark, folder, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of lines, lines dropped and digest of the others for every document."""
+    return linededup.line_digests(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+lines as (
+  select r, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as line from docs),
+keyed as (
+  select *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+common as (select key from keyed where key <> '' group by key having count(distinct r) >= 10),
+told as (select r, pos, line, (key in (select key from common)) as gone from keyed),
+kept as (
+  select r, count(*)::bigint as n_lines, count_if(gone)::bigint as n_dropped,
+    coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text from told group by r)
+select doc_id, n_lines, n_dropped, sha256(kept.text) as kept_sha256 from docs join kept using (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_index": op2_warc_index,
@@ -109,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_topk": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_exact_topk": OP7_SQL, "op13_line_dedup": OP13_SQL}
