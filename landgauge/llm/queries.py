@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgauge.llm import fingerprint, htmltext, langid, linededup, mixing, ngram_join, packing, runs, substring, topk, toxicity, warc
+from landgauge.llm import fingerprint, htmltext, langid, linededup, mixing, ngram_join, packing, repair, runs, substring, topk, toxicity, warc
 from landgauge.llm.scratch import prepare
 
 
@@ -97,6 +97,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.run_digests(table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest audit and digest of the repaired rows of every damaged conversation."""
+    return repair.repair(table(spark, folder, "conversations"), damaged=True)
+
+
 def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Number of lines, lines dropped and digest of the others for every document."""
     return linededup.line_digests(table(spark, folder, "documents"))
@@ -129,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_line_dedup": op13_line_dedup,
 }
 
