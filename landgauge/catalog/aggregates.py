@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landgauge.catalog import bindings as B
-from landgauge.catalog.geometry import BLOCK_CELLS_SQL, CELL, SITE_CELLS_SQL, block_cover, rings, site_cover
+from landgauge.catalog.geometry import BLOCK_CELLS_SQL, CELL, MOVED_SQL, SITE_CELLS_SQL, block_pieces, block_shapes, rings, site_cover, site_pieces
 from landgauge.catalog.joins import BIG, SA, D
 from landgauge.catalog.registry import query
 from landgauge.operators import aggregates as A
 from landgauge.operators import cells as K
+from landgauge.operators import overlay as O
 from landgauge.operators import spatial as S
 from landgauge.operators.ordering import exact_quantiles, first_per, medians
 from landgauge.operators.ranking import quantile_breaks
@@ -100,7 +101,7 @@ GROUPS = {"built": ("built_land",), "green": ("green_space", "green_belt"), "pro
  select cast(cx//10 as int) as gx, cast(cy//10 as int) as gy, cast(least(100, count(*) filter (where g='built')) as int) as built_pct, cast(least(100, count(*) filter (where g='green')) as int) as green_pct, cast(least(100, count(*) filter (where g='prot')) as int) as prot_pct from g group by 1,2""",
 )
 def a10(t):
-    return A.cell_composition(block_cover(t), GROUPS, CELL, 1000.0)
+    return A.cell_composition(block_shapes(t), GROUPS, 1000.0)
 
 
 @query(
@@ -368,16 +369,18 @@ def a36(t):
 
 @query(
     "a37_site_summary",
-    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, BLOCK_CELLS_SQL, SITE_CELLS_SQL)
-    + """, n as (select site_id, count(*) as cells from site_cells group by 1), k as (select site_id, kind, count(distinct s.cx*100000+s.cy) as c, count(distinct block_id) as n_blocks from site_cells s join block_cells b using (cx, cy) group by 1,2)
- select site_id, kind, round(100.0*c/cells,4) as pct, n_blocks from k join n using (site_id) where 100.0*c/cells>=0.5""",
+    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, BLOCK_CELLS_SQL, MOVED_SQL)
+    + """, c as (select distinct kind, cx*100.0 as x, cy*100.0 as y from block_cells),
+ k as (select site_id, kind, sum((least(maxx,x+100)-greatest(minx,x))*(least(maxy,y+100)-greatest(miny,y)))/any_value((maxx-minx)*(maxy-miny)) as share from moved join c on x<maxx and x+100>minx and y<maxy and y+100>miny group by 1,2),
+ n as (select site_id, kind, count(*) as n_blocks from moved s join blocks b on s.minx<b.maxx and b.minx<s.maxx and s.miny<b.maxy and b.miny<s.maxy group by 1,2)
+ select site_id, kind, round(100.0*share,4) as pct, n_blocks from k join n using (site_id, kind) where 100.0*share>=0.5""",
 )
 def a37(t):
-    """Percent of each site under each constraint kind (at least 0.5 %), and overlap counts."""
-    sites, blocks = site_cover(t), block_cover(t)
-    size = sites.groupBy("site_id").agg(F.sum("area").alias("size"))
-    share = K.overlap(sites, ["site_id"], K.dissolve(blocks, ["kind"], CELL), ["kind"], CELL)
-    count = K.overlap(sites, ["site_id"], blocks, ["kind", "block_id"], CELL).groupBy("site_id", "kind").agg(F.count(F.lit(1)).alias("n_blocks"))
+    """Percent of each site under each constraint kind (union, at least 0.5 %), and how many constraints of the kind meet it."""
+    sites = site_pieces(t)
+    size = O.areas(sites, ["site_id"]).withColumnRenamed("area", "size")
+    share = O.covered_by(sites, ["site_id"], block_pieces(t, "kind"), ["kind"], 250.0)
+    count = O.overlap_areas(sites, ["site_id"], block_pieces(t, "kind", "block_id"), ["kind", "block_id"], 250.0).groupBy("site_id", "kind").agg(F.count(F.lit(1)).alias("n_blocks"))
     pct = 100 * F.col("area") / F.col("size")
     return share.join(size, "site_id").filter(pct >= 0.5).select("site_id", "kind", F.round(pct, 4).alias("pct")).join(count, ["site_id", "kind"])
 

@@ -8,6 +8,8 @@ from landgauge.catalog import bindings as B
 from landgauge.catalog.registry import query
 from landgauge.functions import geometry as G
 from landgauge.operators import cells as K
+from landgauge.operators import overlay as O
+from landgauge.operators import regions as R
 
 CELL = 100.0
 
@@ -24,6 +26,27 @@ def site_cover(t):
     return K.cover(rings(B.sites(t), "site_id"), ["site_id"], CELL)
 
 
+def moved(df):
+    """The rectangles 37 m east and 41 m north of where they are, so they lie across the grid."""
+    return df.withColumns({"minx": F.col("minx") + 37, "maxx": F.col("maxx") + 37, "miny": F.col("miny") + 41, "maxy": F.col("maxy") + 41})
+
+
+MOVED_SQL = """moved as (select * replace (minx+37 as minx, maxx+37 as maxx, miny+41 as miny, maxy+41 as maxy) from sites)"""
+
+
+def block_shapes(t):
+    return rings(B.blocks(t), "block_id").select("block_id", "kind", "rings")
+
+
+def block_pieces(t, *keys):
+    return O.fragments(block_shapes(t), list(keys), 250.0)
+
+
+def site_pieces(t):
+    """Sites across the grid."""
+    return O.fragments(rings(moved(B.sites(t)), "site_id").select("site_id", "rings"), ["site_id"], 250.0)
+
+
 # cells of grid-aligned rectangles, in SQL
 BLOCK_CELLS_SQL = """block_cells as (select block_id, kind, gx.cx, gy.cy from blocks,
  (select unnest(range(0,1100)) as cx) gx, (select unnest(range(0,1100)) as cy) gy
@@ -128,14 +151,30 @@ def g07(t):
     return disc.join(grown, ["cx", "cy"]).groupBy("sid").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+@query(
+    "g07_standoff",
+    B.ctes(B.SITES_SQL, MOVED_SQL)
+    + "select site_id, w, round((maxx-minx+2*w)*(maxy-miny+2*w)-(4*w*w-16*w*w*sin(pi()/16)),4) as area_m2 from (select *, 4e0+site_id%12 as w from moved)",
+)
+def g07_standoff(t):
+    """Stand-offs of 4 to 15 m by class round rectangles, far below the cell size; corners are 32-gons."""
+    s = rings(moved(B.sites(t)), "site_id").withColumn("w", F.lit(4.0) + F.col("site_id") % 12).select("site_id", "w", "rings")
+    grown = s.unionByName(O.standoff(s, ["site_id", "w"], F.col("w")))
+    area = O.total(O.union(O.fragments(grown, ["site_id", "w"], CELL), ["site_id", "w"], CELL), ["site_id", "w"])
+    return area.select("site_id", "w", F.round("area", 4).alias("area_m2"))
+
+
 @query(
     "g08_erase",
-    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, BLOCK_CELLS_SQL, SITE_CELLS_SQL)
-    + "select site_id, count(*)*1e0 as ha_left from site_cells s where not exists (select 1 from block_cells b where b.cx=s.cx and b.cy=s.cy) group by 1",
+    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, BLOCK_CELLS_SQL, MOVED_SQL)
+    + """, c as (select distinct cx*100.0 as x, cy*100.0 as y from block_cells),
+ o as (select site_id, sum((least(maxx,x+100)-greatest(minx,x))*(least(maxy,y+100)-greatest(miny,y))) as m2 from moved join c on x<maxx and x+100>minx and y<maxy and y+100>miny group by 1)
+ select site_id, round(((maxx-minx)*(maxy-miny)-coalesce(m2,0))/1e4,6) as ha_left from moved left join o using (site_id) where (maxx-minx)*(maxy-miny)-coalesce(m2,0)>1e-6""",
 )
 def g08(t):
-    left = K.erase(site_cover(t), block_cover(t))
-    return left.groupBy("site_id").agg(F.round(F.sum("area") / 1e4, 6).alias("ha_left"))
+    """Sites across the grid less the union of all (overlapping) blocks."""
+    left = O.difference(site_pieces(t), block_pieces(t), ["site_id"], 250.0)
+    return O.total(left, ["site_id"]).select("site_id", F.round(F.col("area") / 1e4, 6).alias("ha_left"))
 
 
 @query(
@@ -143,36 +182,67 @@ def g08(t):
     B.ctes(B.BLOCKS_SQL, BLOCK_CELLS_SQL) + "select kind, count(distinct cx*10000+cy)*1e0 as ha, count(*)*1e0 as ha_double_counted from block_cells group by 1",
 )
 def g09(t):
-    cov = block_cover(t)
-    union = K.dissolve(cov, ["kind"], CELL).groupBy("kind").agg(F.round(F.sum("area") / 1e4, 6).alias("ha"))
-    return union.join(cov.groupBy("kind").agg(F.round(F.sum("area") / 1e4, 6).alias("ha_double_counted")), "kind")
+    """Overlapping blocks of a kind, dissolved on a grid that they don't fit."""
+    union = O.total(O.union(O.fragments(block_shapes(t), ["kind"], 130.0), ["kind"], 130.0), ["kind"])
+    each = O.areas(O.fragments(block_shapes(t), ["kind", "block_id"], 130.0), ["kind"])
+    return union.select("kind", F.round(F.col("area") / 1e4, 6).alias("ha")).join(each.select("kind", F.round(F.col("area") / 1e4, 6).alias("ha_double_counted")), "kind")
+
+
+@query(
+    "g09_union_across_grid",
+    B.ctes(B.BLOCKS_SQL) + "select block_id, round(2*(maxx-minx)*(maxy-miny)-(maxx-minx-37)*(maxy-miny-41),4) as area_m2 from blocks",
+)
+def g09_across(t):
+    """Each block with its copy 37 m east and 41 m north."""
+    b = B.blocks(t).select("block_id", "minx", "miny", "maxx", "maxy")
+    both = rings(b.unionByName(moved(b)), "block_id").select("block_id", "rings")
+    area = O.total(O.union(O.fragments(both, ["block_id"], CELL), ["block_id"], CELL), ["block_id"])
+    return area.select("block_id", F.round("area", 4).alias("area_m2"))
 
 
 @query(
     "g10_overlap_share",
-    B.ctes(B.BLOCKS_SQL, B.SITES_SQL)
+    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, MOVED_SQL)
     + """select site_id, block_id, (least(s.maxx,b.maxx)-greatest(s.minx,b.minx))*(least(s.maxy,b.maxy)-greatest(s.miny,b.miny)) as area_m2,
  round(least(100, 100*(least(s.maxx,b.maxx)-greatest(s.minx,b.minx))*(least(s.maxy,b.maxy)-greatest(s.miny,b.miny))/((s.maxx-s.minx)*(s.maxy-s.miny))),4) as pct
- from sites s join blocks b on s.minx<b.maxx and b.minx<s.maxx and s.miny<b.maxy and b.miny<s.maxy""",
+ from moved s join blocks b on s.minx<b.maxx and b.minx<s.maxx and s.miny<b.maxy and b.miny<s.maxy""",
 )
 def g10(t):
-    sites = site_cover(t)
-    size = sites.groupBy("site_id").agg(F.sum("area").alias("size"))
-    both = K.overlap(sites, ["site_id"], block_cover(t), ["block_id"], CELL).join(size, "site_id")
+    sites = site_pieces(t)
+    size = O.areas(sites, ["site_id"]).withColumnRenamed("area", "size")
+    both = O.overlap_areas(sites, ["site_id"], block_pieces(t, "block_id"), ["block_id"], 250.0).join(size, "site_id")
     return both.select(
         "site_id", "block_id", F.round("area", 3).alias("area_m2"),
         F.round(F.least(F.lit(100.0), 100 * F.col("area") / F.col("size")), 4).alias("pct"),
     )
 
 
+@query(
+    "g10_overlap_of_triangles",
+    B.ctes(B.SITES_SQL)
+    + """, d as (select site_id, maxx-minx as s, site_id%7*37.0 as a, site_id%5*41.0 as b from sites)
+ select site_id, round(pow(s-a-b,2)/2,4) as area_m2 from d where s-a-b>0""",
+)
+def g10_triangles(t):
+    """Each site's lower left triangle against its square moved by up to 222 and 164 m; what only meets at a border is left out."""
+    pt = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    tri = F.array(F.array(pt("minx", "miny"), pt("maxx", "miny"), pt("minx", "maxy"), pt("minx", "miny")))
+    s = B.sites(t)
+    dx, dy = F.col("site_id") % 7 * 37.0, F.col("site_id") % 5 * 41.0
+    squares = s.withColumn("rings", G.rect_rings(F.col("minx") + dx, F.col("miny") + dy, F.col("maxx") + dx, F.col("maxy") + dy))
+    a = O.fragments(s.select("site_id", tri.alias("rings")), ["site_id"], CELL)
+    b = O.fragments(squares.select(F.col("site_id").alias("other"), "rings"), ["other"], CELL)
+    return O.overlap_areas(a, ["site_id"], b, ["other"], CELL).filter("site_id = other").select("site_id", F.round("area", 4).alias("area_m2"))
+
+
 @query(
     "g11_opening",
-    B.ctes(B.BLOCKS_SQL) + "select block_id, cast(((maxx-minx)/100)*((maxy-miny)/100) as bigint) as n_cells from blocks where maxx-minx>=300 and maxy-miny>=300",
+    B.ctes(B.BLOCKS_SQL) + "select block_id, cast(((maxx-minx)/100)*((maxy-miny)/100) as bigint)-4 as n_cells from blocks where maxx-minx>=300 and maxy-miny>=300",
 )
 def g11(t):
-    """A rectangle survives opening whole when both sides are at least 2k+1 cells."""
-    opened = K.opening(block_cover(t), ["block_id"], 1)
-    return opened.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    """A rectangle of three cells and more each way survives opening by a disc of one cell but for its four corners."""
+    opened = R.opening(R.runs_of(block_cover(t), ["block_id"]), ["block_id"], 1)
+    return R.size_of(opened, ["block_id"])
 
 
 @query(
@@ -181,12 +251,11 @@ def g11(t):
 )
 def g12(t):
     """Each block plus a detached one-cell outlier: two parts, the block is the larger."""
-    cov = block_cover(t).select("block_id", "cx", "cy", "area")
-    far = B.blocks(t).select("block_id", F.lit(-50).alias("cx"), F.lit(-50).alias("cy"), F.lit(10000.0).alias("area"))
-    labelled = K.parts(cov.unionByName(far), ["block_id"])
-    sizes = labelled.groupBy("block_id", "part").agg(F.sum("area").alias("m2"))
+    far = B.blocks(t).select("block_id", F.lit(-50).alias("cx"), F.lit(-50).alias("cy"))
+    runs = R.runs_of(block_cover(t).select("block_id", "cx", "cy").unionByName(far), ["block_id"])
+    sizes = R.size_of(R.parts(runs, ["block_id"]), ["block_id", "part"])
     return sizes.groupBy("block_id").agg(
-        F.count(F.lit(1)).alias("n_parts"), F.round(F.sum("m2") / 1e4, 6).alias("ha"), F.round(F.max("m2") / 1e4, 6).alias("largest_ha")
+        F.count(F.lit(1)).alias("n_parts"), F.sum("n_cells").cast("double").alias("ha"), F.max("n_cells").cast("double").alias("largest_ha")
     )
 
 
@@ -197,10 +266,9 @@ def g12(t):
 def g13(t):
     df = rings(B.sites(t), "site_id")
     hole = G.rect_rings(F.col("minx") + 100, F.col("miny") + 100, F.col("minx") + 200, F.col("miny") + 200)
-    cov = K.cover(df.withColumn("rings", F.concat("rings", hole)), ["site_id"], CELL)
-    filled = K.fill_holes(cov, ["site_id"], CELL, 15000.0)
-    n = filled.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_cells"))
-    return n.join(cov.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_before")), "site_id")
+    runs = R.runs_of(K.cover(df.withColumn("rings", F.concat("rings", hole)), ["site_id"], CELL), ["site_id"])
+    n = R.size_of(R.fill_holes(runs, ["site_id"], 1.5), ["site_id"])
+    return n.join(R.size_of(runs, ["site_id"]).withColumnRenamed("n_cells", "n_before"), "site_id")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landgauge.catalog import bindings as B
-from landgauge.catalog.geometry import BLOCK_CELLS_SQL, CELL, SITE_CELLS_SQL, block_cover, rings, site_cover
+from landgauge.catalog.geometry import BLOCK_CELLS_SQL, CELL, MOVED_SQL, block_pieces, moved, rings, site_pieces
 from landgauge.catalog.registry import query
 from landgauge.functions.clean import norm_name
 from landgauge.operators import cells as K
@@ -33,10 +33,11 @@ def j02(t):
 
 @query(
     "j03_polygons_intersect",
-    B.ctes(B.BLOCKS_SQL, B.SITES_SQL) + "select site_id, block_id from sites s join blocks b on s.minx<b.maxx and b.minx<s.maxx and s.miny<b.maxy and b.miny<s.maxy",
+    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, MOVED_SQL) + "select site_id, block_id from moved s join blocks b on s.minx<b.maxx and b.minx<s.maxx and s.miny<b.maxy and b.miny<s.maxy",
 )
 def j03(t):
-    return S.polygons_intersect(site_cover(t), "site_id", block_cover(t), "block_id", CELL)
+    """Sites lie across the grid, so many pairs share a cell and no area."""
+    return S.polygons_intersect(site_pieces(t), "site_id", block_pieces(t, "block_id"), "block_id", 250.0)
 
 
 @query("j04_within_distance", SA + f"select sid, id, round({D},4) as dist from stations, amenities where {D}<=3000")
@@ -89,12 +90,12 @@ def j08(t):
 
 @query(
     "j09_layer_flags",
-    B.ctes(B.BLOCKS_SQL, B.SITES_SQL)
+    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, MOVED_SQL)
     + """select site_id, coalesce(bool_or(kind='built_land'),false) as built, coalesce(bool_or(kind='sssi'),false) as sssi, coalesce(bool_or(kind='green_belt'),false) as green_belt
- from sites s left join blocks b on s.minx<b.maxx and b.minx<s.maxx and s.miny<b.maxy and b.miny<s.maxy group by 1""",
+ from moved s left join blocks b on s.minx<b.maxx and b.minx<s.maxx and s.miny<b.maxy and b.miny<s.maxy group by 1""",
 )
 def j09(t):
-    hits = site_cover(t).select("site_id", "cx", "cy").join(block_cover(t).select("kind", "cx", "cy").distinct(), ["cx", "cy"])
+    hits = S.polygons_intersect(site_pieces(t), "site_id", block_pieces(t, "kind", "block_id"), "kind", 250.0)
     names = {"built": "built_land", "sssi": "sssi", "green_belt": "green_belt"}
     flags = hits.groupBy("site_id").agg(*[F.bool_or(F.col("kind") == k).alias(n) for n, k in names.items()])
     return B.sites(t).select("site_id").join(flags, "site_id", "left").select("site_id", *[F.coalesce(n, F.lit(False)).alias(n) for n in names])
@@ -102,15 +103,15 @@ def j09(t):
 
 @query(
     "j10_covers_site",
-    B.ctes(B.BLOCKS_SQL, B.SITES_SQL)
+    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, MOVED_SQL)
     + """, o as (select site_id, block_id, greatest(0,least(s.maxx,b.maxx)-greatest(s.minx,b.minx))*greatest(0,least(s.maxy,b.maxy)-greatest(s.miny,b.miny))/((s.maxx-s.minx)*(s.maxy-s.miny)) as share,
-  (s.minx+s.maxx)/2>=b.minx and (s.minx+s.maxx)/2<b.maxx and (s.miny+s.maxy)/2>=b.miny and (s.miny+s.maxy)/2<b.maxy as inside from sites s, blocks b)
+  (s.minx+s.maxx)/2>=b.minx and (s.minx+s.maxx)/2<b.maxx and (s.miny+s.maxy)/2>=b.miny and (s.miny+s.maxy)/2<b.maxy as inside from moved s, blocks b)
  select site_id, block_id from o where inside or share>=0.1""",
 )
 def j10(t):
-    sites = B.sites(t).withColumn("x", (F.col("minx") + F.col("maxx")) / 2).withColumn("y", (F.col("miny") + F.col("maxy")) / 2)
+    sites = moved(B.sites(t)).withColumn("x", (F.col("minx") + F.col("maxx")) / 2).withColumn("y", (F.col("miny") + F.col("maxy")) / 2)
     inside = S.points_in_polygons(sites, "site_id", rings(B.blocks(t), "block_id"), "block_id", CELL)
-    return S.covers_site(site_cover(t), "site_id", block_cover(t), "block_id", CELL, inside)
+    return S.covers_site(site_pieces(t), "site_id", block_pieces(t, "block_id"), "block_id", 250.0, inside)
 
 
 @query(
@@ -125,13 +126,13 @@ def j11(t):
 
 @query(
     "j12_area_weighted",
-    B.ctes(B.BLOCKS_SQL, B.SITES_SQL)
-    + """, o as (select block_id, greatest(0,least(s.maxx,b.maxx)-greatest(s.minx,b.minx))*greatest(0,least(s.maxy,b.maxy)-greatest(s.miny,b.miny))/((s.maxx-s.minx)*(s.maxy-s.miny)) as share, p_size as pop, case when site_id%3>0 then p_retailprice end as imd from sites s join blocks b on s.minx<b.maxx and b.minx<s.maxx and s.miny<b.maxy and b.miny<s.maxy)
+    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, MOVED_SQL)
+    + """, o as (select block_id, greatest(0,least(s.maxx,b.maxx)-greatest(s.minx,b.minx))*greatest(0,least(s.maxy,b.maxy)-greatest(s.miny,b.miny))/((s.maxx-s.minx)*(s.maxy-s.miny)) as share, p_size as pop, case when site_id%3>0 then p_retailprice end as imd from moved s join blocks b on s.minx<b.maxx and b.minx<s.maxx and s.miny<b.maxy and b.miny<s.maxy)
  select block_id, round(sum(pop*share),6) as pop, round(sum(pop*share*imd)/nullif(sum(pop*share) filter (where imd is not null),0),6) as imd from o group by 1""",
 )
 def j12(t):
     facts = B.sites(t).select("site_id", F.col("p_size").alias("pop"), F.when(F.col("site_id") % 3 > 0, F.col("p_retailprice")).alias("imd"))
-    out = S.area_weighted(block_cover(t), "block_id", site_cover(t), "site_id", CELL, facts, "pop", ["imd"])
+    out = S.area_weighted(block_pieces(t, "block_id"), "block_id", site_pieces(t), "site_id", 250.0, facts, "pop", ["imd"])
     return out.select("block_id", F.round("pop", 6).alias("pop"), F.round("imd", 6).alias("imd"))
 
 
@@ -304,16 +305,14 @@ def j24(t):
 
 @query(
     "j25_supplement",
-    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, BLOCK_CELLS_SQL, SITE_CELLS_SQL)
-    + "select site_id from site_cells s left join (select distinct cx, cy, 1 as hit from block_cells) b using (cx, cy) group by 1 having count(hit)<0.5*count(*)",
+    B.ctes(B.BLOCKS_SQL, B.SITES_SQL, BLOCK_CELLS_SQL, MOVED_SQL)
+    + """, c as (select distinct cx*100.0 as x, cy*100.0 as y from block_cells),
+ o as (select site_id, sum((least(maxx,x+100)-greatest(minx,x))*(least(maxy,y+100)-greatest(miny,y))) as m2 from moved join c on x<maxx and x+100>minx and y<maxy and y+100>miny group by 1)
+ select site_id from moved left join o using (site_id) where coalesce(m2,0)<0.5*(maxx-minx)*(maxy-miny)""",
 )
 def j25(t):
-    """Candidate sites less than half covered by existing blocks are inserted."""
-    existing = K.dissolve(block_cover(t), [], CELL).withColumn("layer", F.lit(1))
-    cand = site_cover(t)
-    size = cand.groupBy("site_id").agg(F.sum("area").alias("size"))
-    shared = K.overlap(cand, ["site_id"], existing, ["layer"], CELL)
-    return size.join(shared, "site_id", "left").filter(F.coalesce("area", F.lit(0.0)) < 0.5 * F.col("size")).select("site_id")
+    """Candidate sites less than half covered by existing blocks, whose overlaps count once, are inserted."""
+    return S.supplement(site_pieces(t), "site_id", block_pieces(t), 250.0)
 
 
 @query(

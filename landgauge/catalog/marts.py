@@ -9,9 +9,10 @@ from landgauge.catalog import filters as CF
 from landgauge.catalog.aggregates import HOTEL_SQL, a36, hotels
 from landgauge.catalog.clean import PLACES, pick
 from landgauge.catalog.classify import TAGS
-from landgauge.catalog.geometry import BLOCK_CELLS_SQL, CELL, block_cover, rings
+from landgauge.catalog.geometry import BLOCK_CELLS_SQL, CELL, block_cover, block_shapes, rings
 from landgauge.catalog.joins import BIG, SA, D
 from landgauge.catalog.registry import ORACLES, query
+from landgauge.functions import geometry as G
 from landgauge.functions.clean import norm_name
 from landgauge.operators import aggregates as A
 from landgauge.operators import gates as GT
@@ -37,20 +38,39 @@ DISC2_SQL = """disc as (select sid, cx, cy, sqrt(pow((cx+0.5)*100-sx,2)+pow((cy+
 )
 def m01(t):
     """Whole plots kept (no opening, no minimum plot): exact on grid-aligned rectangles."""
-    out = SP.developable_land(B.stations(t), block_cover(t), CELL, 2000.0, 500.0, 0.0, 0.0)
+    out = SP.developable_land(B.stations(t), block_shapes(t), CELL, 2000.0, 500.0, 0.0, 0.0)
     return out.select("sid", F.round("ha", 6).alias("ha"), F.round("ha_inner", 6).alias("ha_inner"), F.round("green_belt_ha", 6).alias("green_belt_ha"), "friction")
 
 
-@query("m01_developable_plots")
+PLUS = "(0,0),(1,0),(-1,0),(0,1),(0,-1)"
+
+
+@query(
+    "m01_developable_plots",
+    B.ctes(B.STATIONS_SQL, B.BLOCKS_SQL, BLOCK_CELLS_SQL).replace("with ", "with recursive ", 1)
+    + f""", hard as (select distinct cx, cy from block_cells where kind in ('built_land','green_space','sssi')),
+ plus as (select * from (values {PLUS}) p(i, j)),
+ lft as (select sid, cx, cy, d from (select sid, gx.o+cast(floor(sx/100) as int) as cx, gy.o+cast(floor(sy/100) as int) as cy, sqrt(pow((gx.o+cast(floor(sx/100) as int)+0.5)*100-sx,2)+pow((gy.o+cast(floor(sy/100) as int)+0.5)*100-sy,2)) as d from stations, (select unnest(range(-11,12)) as o) gx, (select unnest(range(-11,12)) as o) gy) where d<=1000 and not exists (select 1 from hard h where h.cx=cx and h.cy=cy)),
+ ero as (select sid, l.cx-i as cx, l.cy-j as cy from lft l, plus group by 1,2,3 having count(*)=5),
+ opn as (select distinct sid, e.cx+i as cx, e.cy+j as cy from ero e, plus),
+ walk as (select sid, cx as rx, cy as ry, cx, cy from opn union select w.sid, rx, ry, o.cx, o.cy from walk w join opn o on o.sid=w.sid and abs(o.cx-w.cx)+abs(o.cy-w.cy)=1),
+ part as (select sid, cx, cy, min(rx*100000+ry) as part from walk group by 1,2,3),
+ big as (select sid, part, count(*)*1e0 as ha from part group by 1,2 having count(*)*1e4>=40000),
+ kept as (select p.* from part p join big using (sid, part))
+ select sid, coalesce(k.ha,0) as ha, coalesce(k.ha_inner,0) as ha_inner, largest_ha, coalesce(n_plots,0) as n_plots from stations
+ left join (select sid, count(*)*1e0 as ha, count(*) filter (where d<=200)*1e0 as ha_inner from kept join lft using (sid, cx, cy) group by 1) k using (sid)
+ left join (select sid, max(ha) as largest_ha, count(*) as n_plots from big group by 1) b using (sid)""".replace("where h.cx=cx and h.cy=cy", "where h.cx=g.cx and h.cy=g.cy").replace("(select unnest(range(-11,12)) as o) gy) where d<=1000", "(select unnest(range(-11,12)) as o) gy) g where d<=1000"),
+)
 def m01_plots(t):
-    """With opening, minimum plot and largest plot (rows only; opening and parts are tested by brute force)."""
-    return SP.developable_land(B.stations(t), block_cover(t), CELL, 1000.0, 200.0, 40_000.0, 250.0)
+    """With opening by a disc of 125 m, minimum plot and largest plot."""
+    out = SP.developable_land(B.stations(t), block_shapes(t), CELL, 1000.0, 200.0, 40_000.0, 250.0)
+    return out.select("sid", F.round("ha", 6).alias("ha"), F.round("ha_inner", 6).alias("ha_inner"), F.round("largest_ha", 6).alias("largest_ha"), "n_plots")
 
 
 def assessed(t):
     st = B.stations(t).withColumns({"connected": F.col("sid") % 3 == 0, "tph": F.col("sid") % 11, "per_direction": F.col("sid") % 6})
-    land = SP.developable_land(st, block_cover(t), CELL, 2000.0, 500.0, 0.0, 0.0)
-    built = SP.built_fraction(st, block_cover(t).filter("kind = 'built_land'"), CELL, 2000.0)
+    land = SP.developable_land(st, block_shapes(t), CELL, 2000.0, 500.0, 0.0, 0.0)
+    built = SP.built_fraction(st, block_shapes(t).filter("kind = 'built_land'"), CELL, 2000.0)
     return SP.station_assessments(st, land, built)
 
 
@@ -120,13 +140,32 @@ def m06(t):
     return SP.station_lookups(B.stations(t), areas, facts, BIG).select("sid", "area_id", "area_name", "land_value", "cil_status")
 
 
-@query("m07_grey_belt")
+@query(
+    "m07_grey_belt",
+    B.ctes(B.BLOCKS_SQL, BLOCK_CELLS_SQL).replace("with ", "with recursive ", 1)
+    + """, belt as (select distinct cx, cy from block_cells where kind='green_belt'),
+ built as (select distinct cx+1 as cx, cy+1 as cy from block_cells where kind='green_belt'),
+ hard as (select distinct cx+3 as cx, cy+2 as cy from block_cells where kind='green_belt' and block_id%3=0),
+ lft as (select cx, cy from belt intersect select cx, cy from built except select cx, cy from hard),
+ walk as (select cx as rx, cy as ry, cx, cy from lft union select rx, ry, o.cx, o.cy from walk w join lft o on abs(o.cx-w.cx)+abs(o.cy-w.cy)=1),
+ part as (select cx, cy, min(rx*100000+ry) as part from walk group by 1,2),
+ plots as (select part, count(*)*1e0 as ha, min(cx) as cx, min(cy) as cy from part group by 1)
+ select cast(round(ha*1e4) as bigint) as m2, count(*) as n, sum(cx)::bigint as cxs, sum(cy)::bigint as cys, least(1, min(rank))::bigint as first
+ from (select *, row_number() over (order by ha desc) as rank from plots) group by 1""",
+)
 def m07(t):
-    """Built cells inside the green belt (blocks shifted together so that they overlap)."""
-    belt = block_cover(t).filter("kind = 'green_belt'").select("cx", "cy", "area", "full").withColumn("kind", F.lit("green_belt"))
-    built = belt.filter("(cx + cy) % 7 < 4").withColumn("kind", F.lit("built_land"))
-    hard = belt.filter("cx % 11 = 0").withColumn("kind", F.lit("sssi"))
-    return LP.grey_belt(belt.unionByName(built).unionByName(hard), CELL)
+    """Built land (the belt's blocks 100 m on) inside the belt less hard designations; plots of equal size are counted together."""
+    belt = B.blocks(t).filter("kind = 'green_belt'").select("block_id", "minx", "miny", "maxx", "maxy")
+
+    def at(df, kind, dx, dy):
+        box = G.rect_rings(F.col("minx") + dx, F.col("miny") + dy, F.col("maxx") + dx, F.col("maxy") + dy)
+        return df.select(F.lit(kind).alias("kind"), box.alias("rings"))
+
+    hard = at(belt.withColumn("_third", F.col("block_id") % 3).filter("_third = 0"), "sssi", 300, 200)
+    plots = LP.grey_belt(at(belt, "green_belt", 0, 0).unionByName(at(belt, "built_land", 100, 100)).unionByName(hard), CELL)
+    return plots.groupBy(F.round(F.col("ha") * 1e4).cast("bigint").alias("m2")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("cx").alias("cxs"), F.sum("cy").alias("cys"), F.least(F.lit(1), F.min("number")).cast("bigint").alias("first")
+    )
 
 
 GROUPS = {"built": ("built_land",), "protected": ("sssi", "conservation_area")}
@@ -142,7 +181,7 @@ GROUPS = {"built": ("built_land",), "protected": ("sssi", "conservation_area")}
 def m08(t):
     seed = B.venues(t).select(F.floor(F.col("x") / 1000).cast("int").alias("gx"), F.floor(F.col("y") / 1000).cast("int").alias("gy")).distinct()
     seed = seed.withColumn("x", F.col("gx") * 1000 + 500.0).withColumn("y", F.col("gy") * 1000 + 500.0)
-    comp = A.cell_composition(block_cover(t), GROUPS, CELL, 1000.0)
+    comp = A.cell_composition(block_shapes(t), GROUPS, 1000.0)
     subs = B.stations(t).select(F.col("sid").alias("id"), F.col("sx").alias("x"), F.col("sy").alias("y"))
     return LP.power_grid(seed, comp, {"d_sub132": subs}).select("gx", "gy", "built_pct", "protected_pct", "d_sub132")
 
@@ -205,9 +244,26 @@ def m12(t):
     return out.select("sid", "radius", "n", *[F.round(p, 4).alias(p) for p in ("p25", "p50", "p75")], F.size("evidence").cast("bigint").alias("n_evidence"))
 
 
-@query("m13_candidate_sites")
+DA = "sqrt(pow(a.x-s.x,2)+pow(a.y-s.y,2))"
+
+
+@query(
+    "m13_candidate_sites",
+    B.ctes(B.SITES_SQL, B.BLOCKS_SQL, BLOCK_CELLS_SQL, B.STATIONS_SQL, B.AMENITIES_SQL, B.VENUES_SQL)
+    + f""", p as (select site_id as id, case when site_id%2=0 then 'register' else 'osm_retail' end as src, (minx+maxx)/2 as x, (miny+maxy)/2 as y, minx, miny, maxx, maxy from sites),
+ s as (select * from p where src='register' or not exists (select 1 from blocks b where b.kind='green_space' and p.x>=b.minx and p.x<b.maxx and p.y>=b.miny and p.y<b.maxy)),
+ stn as (select s.id, min(sqrt(pow(sx-s.x,2)+pow(sy-s.y,2))) as d from s, stations where sqrt(pow(sx-s.x,2)+pow(sy-s.y,2))<=3000 group by 1),
+ k8 as (select s.id, a.id as stop, a.id%40 as mins, {DA} as d from s, amenities a where {DA}<=3000 qualify row_number() over (partition by s.id order by {DA}, a.id)<=8),
+ z as (select id, min(mins+d*1.25/80) as z1 from k8 group by 1),
+ o as (select s.id, count(*) as n, quantile_cont(cap::double, 0.5) as med from s, venues a where {DA}<=1000 group by 1),
+ c as (select distinct kind, cx*100.0 as cx, cy*100.0 as cy from block_cells where kind<>'green_space'),
+ f as (select id, kind from s join c on cx<maxx and cx+100>minx and cy<maxy and cy+100>miny group by 1, 2 having sum((least(maxx,cx+100)-greatest(minx,cx))*(least(maxy,cy+100)-greatest(miny,cy)))>=0.1*any_value((maxx-minx)*(maxy-miny)))
+ select s.id, src, s.x, s.y, round((maxx-minx)*(maxy-miny)/1e4,6) as area_ha, round(stn.d,4) as stn_m, round(z1,4) as z1_min, coalesce(o.n,0) as office_n, round(med,4) as office_voa_pm2,
+ {', '.join(f"exists(select 1 from f where f.id=s.id and kind='{k}') as in_{k}" for k in B.KINDS if k != 'green_space')}
+ from s left join stn using (id) left join z using (id) left join o using (id)""",
+)
 def m13(t):
-    """Register and other sites with access, office market and policy flags (parts tested one by one)."""
+    """Register and other sites with access, office market and policy flags."""
     s = rings(B.sites(t), "site_id").withColumn("x", (F.col("minx") + F.col("maxx")) / 2).withColumn("y", (F.col("miny") + F.col("maxy")) / 2)
     src = F.when(F.col("site_id") % 2 == 0, "register").otherwise("osm_retail")
     sites = s.select(F.col("site_id").alias("id"), src.alias("src"), "rings", "x", "y")
@@ -215,7 +271,8 @@ def m13(t):
     layers = rings(B.blocks(t).filter("kind <> 'green_space'"), "block_id").select(F.col("kind").alias("layer"), "rings")
     stops = B.amenities(t).select(F.col("id").alias("stop"), "x", "y", (F.col("id") % 40).cast("double").alias("mins"))
     market = B.venues(t).select("id", "x", "y", F.col("cap").alias("pm2"))
-    return LP.candidate_sites(sites.filter("src = 'register'"), sites.filter("src <> 'register'"), green, stops, B.stations(t), market, layers, CELL)
+    out = LP.candidate_sites(sites.filter("src = 'register'"), sites.filter("src <> 'register'"), green, stops, B.stations(t), market, layers, CELL)
+    return out.select(*[F.round(c, 6 if c == "area_ha" else 4).alias(c) if c in ("area_ha", "stn_m", "z1_min", "office_voa_pm2") else c for c in out.columns])
 
 
 @query(

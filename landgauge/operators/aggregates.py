@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landgauge.operators import overlay
 from landgauge.operators.ordering import first_per, medians
 
 
@@ -48,21 +49,19 @@ def block_best_case(df: DataFrame, e: str, n: str, res: float, mins: Sequence[st
     )
 
 
-def cell_composition(covers: DataFrame, groups: dict[str, Sequence[str]], cell: float, out_cell: float) -> DataFrame:
-    """Percent of each output cell under each group of kinds (union within a group, capped at 100)."""
-    k = int(out_cell // cell)
-    size = float(cell) * cell
+def cell_composition(polygons: DataFrame, groups: dict[str, Sequence[str]], cell: float) -> DataFrame:
+    """gx, gy and the percent of each cell under each group of kinds (exact union within a group).
+
+    `polygons` kind, rings.
+    """
     label = F
     for name, kinds in groups.items():
         label = label.when(F.col("kind").isin(*kinds), name)
-    grouped = covers.withColumn("_g", label).filter(F.col("_g").isNotNull())
-    union = grouped.groupBy("_g", "cx", "cy").agg(F.least(F.sum("area"), F.lit(size)).alias("area"))
-    return union.groupBy(F.floor(F.col("cx") / k).cast("int").alias("gx"), F.floor(F.col("cy") / k).cast("int").alias("gy")).agg(
-        *[
-            F.least(F.lit(100), F.round(F.sum(F.when(F.col("_g") == g, F.col("area")).otherwise(0.0)) / (out_cell * out_cell) * 100)).cast("int").alias(f"{g}_pct")
-            for g in groups
-        ]
-    )
+    grouped = polygons.select(label.alias("_g"), "rings").filter(F.col("_g").isNotNull())
+    union = overlay.union(overlay.fragments(grouped, ["_g"], cell), ["_g"], cell)
+    cells = union.select("_g", F.col("cx").alias("gx"), F.explode(F.sequence("lo", "hi")).alias("gy"), "area")
+    pct = lambda g: F.round(F.sum(F.when(F.col("_g") == g, F.col("area")).otherwise(0.0)) / (cell * cell) * 100).cast("int")
+    return cells.groupBy("gx", "gy").agg(*[F.least(F.lit(100), pct(g)).alias(f"{g}_pct") for g in groups])
 
 
 def aggregate_titles(titles: DataFrame) -> DataFrame:

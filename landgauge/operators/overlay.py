@@ -144,7 +144,7 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.withColumn("_block", F.explode(F.sequence(block("lo"), block("hi"))))
 
 
-def _together(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def together(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows of a and b (columns a_lo, a_hi, b_lo, b_hi) whose ranges of cells meet, with lo and hi of what they share; no pair twice."""
     met = _blocks(a.withColumns({"lo": F.col("a_lo"), "hi": F.col("a_hi")})).drop("lo", "hi").join(
         _blocks(b.withColumns({"lo": F.col("b_lo"), "hi": F.col("b_hi")})).drop("lo", "hi"), [*by, "cx", "_block"]
@@ -170,7 +170,7 @@ def overlap_areas(a: DataFrame, a_keys: Sequence[str], b: DataFrame, b_keys: Seq
     b_cells, b_pieces = side(b, "b", b_keys)
     n = F.col("hi") - F.col("lo") + 1
     # one of the two fills the cell: what the other has there
-    filled = _together(a_cells, b_cells).filter(F.col("a_full") | F.col("b_full")).select(*keys, (n * F.least("a_area", "b_area")).alias("area"))
+    filled = together(a_cells, b_cells).filter(F.col("a_full") | F.col("b_full")).select(*keys, (n * F.least("a_area", "b_area")).alias("area"))
     crossed = a_pieces.join(b_pieces, ["cx", "cy"]).filter((F.col("a_xa") < F.col("b_xb")) & (F.col("b_xa") < F.col("a_xb")))
     crossed = crossed.select(*keys, (F.col("a_sign") * F.col("b_sign") * _area_below_both()).alias("area"))
     return filled.unionByName(crossed).groupBy(*keys).agg(F.sum("area").alias("area")).filter(F.col("area") > EPS * size)
@@ -179,7 +179,7 @@ def overlap_areas(a: DataFrame, a_keys: Sequence[str], b: DataFrame, b_keys: Seq
 def layers_in_cells(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, cx, cy and the areas only_a, only_b, both of the unions of layers a and b in each cell.
 
-    `pieces` keys, cx, cy, layer ('a' or 'b') and PIECE columns.
+    `pieces` keys, cx, cy, _layer ('a' or 'b') and PIECE columns.
     """
     at = [*keys, "cx", "cy"]
     one = pieces.select(*at, *[F.col(c).alias(f"a_{c}") for c in PIECE[:4]])
@@ -197,7 +197,7 @@ def layers_in_cells(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     height = F.col("ya") + (F.col("yb") - F.col("ya")) * (middle - F.col("xa")) / (F.col("xb") - F.col("xa"))
     rows = strips.join(pieces, at).filter((F.col("xa") <= F.col("x1")) & (F.col("xb") >= F.col("x2"))).withColumn("_y", height)
     down = Window.partitionBy(*at, "x1").orderBy(F.col("_y").desc())
-    covers = {k: F.sum(F.when(F.col("layer") == k, F.col("sign")).otherwise(0.0)).over(down.rowsBetween(Window.unboundedPreceding, 0)) > 0.5 for k in ("a", "b")}
+    covers = {k: F.sum(F.when(F.col("_layer") == k, F.col("sign")).otherwise(0.0)).over(down.rowsBetween(Window.unboundedPreceding, 0)) > 0.5 for k in ("a", "b")}
     rows = rows.withColumns({"_a": covers["a"], "_b": covers["b"], "_down": F.coalesce(F.lead("_y").over(down), F.lit(0.0))})
     part = (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("_down"))
     pick = lambda c: F.sum(F.when(c, part).otherwise(0.0))
@@ -208,11 +208,11 @@ def layers_in_cells(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
 def ranges_by_layer(rows: DataFrame, keys: Sequence[str], layers: Sequence[str]) -> DataFrame:
     """keys, cx, lo, hi and a count per layer for ranges of cells within which the counts don't change.
 
-    `rows` keys, cx, lo, hi, layer. Cells that no layer has are left out; neighbours with the same counts are not joined.
+    `rows` keys, cx, lo, hi, _layer. Cells that no layer has are left out; neighbours with the same counts are not joined.
     """
     ends = F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("d")))
-    steps = rows.select(*keys, "cx", "layer", F.explode(ends).alias("_e")).select(*keys, "cx", "layer", "_e.*")
-    steps = steps.groupBy(*keys, "cx", "at").agg(*[F.sum(F.when(F.col("layer") == k, F.col("d")).otherwise(0)).alias(f"_{k}") for k in layers])
+    steps = rows.select(*keys, "cx", "_layer", F.explode(ends).alias("_e")).select(*keys, "cx", "_layer", "_e.*")
+    steps = steps.groupBy(*keys, "cx", "at").agg(*[F.sum(F.when(F.col("_layer") == k, F.col("d")).otherwise(0)).alias(f"_{k}") for k in layers])
     along = Window.partitionBy(*keys, "cx").orderBy("at")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
     out = steps.select(*keys, "cx", F.col("at").alias("lo"), (F.lead("at").over(along) - 1).alias("hi"), *[F.sum(f"_{k}").over(so_far).alias(k) for k in layers])
@@ -229,10 +229,10 @@ def combine(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float) -> Dat
     """
     keys, size = list(keys), float(cell) * cell
     columns = [*keys, "cx", "lo", "hi", "full", *PIECE]
-    rows = a.select(*columns).withColumn("layer", F.lit("a")).unionByName(b.select(*columns).withColumn("layer", F.lit("b")))
-    kinds = F.concat(F.when(F.col("full"), "full_").otherwise("part_"), F.col("layer"))
-    marks = rows.select(*keys, "cx", "lo", "hi", kinds.alias("layer"))
-    marks = marks.filter(F.col("layer").startswith("full")).unionByName(marks.filter(F.col("layer").startswith("part")).distinct())
+    rows = a.select(*columns).withColumn("_layer", F.lit("a")).unionByName(b.select(*columns).withColumn("_layer", F.lit("b")))
+    kinds = F.concat(F.when(F.col("full"), "full_").otherwise("part_"), F.col("_layer"))
+    marks = rows.select(*keys, "cx", "lo", "hi", kinds.alias("_layer"))
+    marks = marks.filter(F.col("_layer").startswith("full")).unionByName(marks.filter(F.col("_layer").startswith("part")).distinct())
     told = cut_lineage(ranges_by_layer(marks, keys, ["full_a", "full_b", "part_a", "part_b"]))
     # a layer that fills a cell leaves nothing to its outlines there
     fills = lambda k: F.col(f"full_{k}") > 0
@@ -246,10 +246,10 @@ def combine(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float) -> Dat
     told_open = told.filter(open_("a") | open_("b")).select(
         *keys, "cx", F.explode(F.sequence("lo", "hi")).alias("cy"), fills("a").alias("_fa"), fills("b").alias("_fb")
     )
-    own = rows.filter(~F.col("full")).select(*keys, "cx", F.col("lo").alias("cy"), "layer", *PIECE)
-    own = own.join(told_open, [*keys, "cx", "cy"]).filter(~F.when(F.col("layer") == "a", F.col("_fa")).otherwise(F.col("_fb"))).drop("_fa", "_fb")
+    own = rows.filter(~F.col("full")).select(*keys, "cx", F.col("lo").alias("cy"), "_layer", *PIECE)
+    own = own.join(told_open, [*keys, "cx", "cy"]).filter(~F.when(F.col("_layer") == "a", F.col("_fa")).otherwise(F.col("_fb"))).drop("_fa", "_fb")
     lid = [F.lit(v).alias(c) for c, v in zip(PIECE, (0.0, float(cell), float(cell), float(cell), 1.0))]
-    lids = [told_open.filter(f"_f{k}").select(*keys, "cx", "cy", F.lit(k).alias("layer"), *lid) for k in ("a", "b")]
+    lids = [told_open.filter(f"_f{k}").select(*keys, "cx", "cy", F.lit(k).alias("_layer"), *lid) for k in ("a", "b")]
     cut = layers_in_cells(cut_lineage(own.unionByName(lids[0]).unionByName(lids[1])), keys)
     cut = cut.select(*keys, "cx", F.col("cy").alias("lo"), F.col("cy").alias("hi"), "only_a", "only_b", "both")
     return settled.unionByName(cut).filter(F.col("only_a") + F.col("only_b") + F.col("both") > EPS * size)
@@ -260,7 +260,7 @@ def spread(frags: DataFrame, own: Sequence[str], over: DataFrame, keys: Sequence
     cells = over.select(*keys, "cx", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi")).distinct()
     other = frags.select("cx", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), "full", *PIECE, *own)
     # a range is cut to the cells that it shares, so a border of many small ones does not repeat it
-    return _together(cells, other).select(*keys, "cx", "lo", "hi", "full", *PIECE, *own)
+    return together(cells, other).select(*keys, "cx", "lo", "hi", "full", *PIECE, *own)
 
 
 def difference(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
@@ -280,6 +280,47 @@ def total(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.sum(F.col("area") * (F.col("hi") - F.col("lo") + 1)).alias("area"))
 
 
+def n_cells() -> Column:
+    return F.col("hi") - F.col("lo") + 1
+
+
+def within(a: DataFrame, b: DataFrame, by: Sequence[str], more: Sequence[str]) -> DataFrame:
+    """a's ranges of cells (any columns) cut to b's, with columns `more` of b; a row for each of b's ranges that meets one of a's."""
+    own = [c for c in a.columns if c not in ("lo", "hi")]
+    left = a.withColumnsRenamed({"lo": "a_lo", "hi": "a_hi"})
+    right = b.select(*by, "cx", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), *more)
+    return together(left, right, by).select(*own, "lo", "hi", *more)
+
+
+def left_of(cells: DataFrame, blocked: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """keys, cx, lo, hi, area: what `blocked` (cx, lo, hi, area per cell, no cell twice) leaves of every cell of `cells` (keys, cx, lo, hi)."""
+    size = float(cell) * cell
+    met = cut_lineage(within(cells.select(*keys, "cx", "lo", "hi"), blocked, [], ["area"]))
+    marks = cells.select(*keys, "cx", "lo", "hi", F.lit("all").alias("_layer")).unionByName(met.select(*keys, "cx", "lo", "hi", F.lit("met").alias("_layer")))
+    free = ranges_by_layer(marks, keys, ["all", "met"]).filter("all > 0 and met = 0").select(*keys, "cx", "lo", "hi", F.lit(size).alias("area"))
+    return free.unionByName(met.filter(F.col("area") < size * (1 - EPS)).withColumn("area", size - F.col("area")))
+
+
+def covered_by(a: DataFrame, a_keys: Sequence[str], b: DataFrame, b_keys: Sequence[str], cell: float) -> DataFrame:
+    """a_keys, b_keys, area: how much of a's polygons the union of b's polygons of each key covers; `a` and `b` are fragments."""
+    keys = [*a_keys, *b_keys]
+    other = cut_lineage(spread(b, b_keys, a, a_keys))
+    mine = a.join(other.select(*keys).distinct(), list(a_keys))
+    both = combine(mine, other, keys, cell).filter(F.col("both") > EPS * float(cell) * cell)
+    return total(both.withColumn("area", F.col("both")), keys)
+
+
+def disc_runs(points: DataFrame, keys: Sequence[str], x: Column, y: Column, r: Column | float, cell: float) -> DataFrame:
+    """keys, cx, lo, hi: per grid column the cells whose centre lies within r of the point."""
+    r = r if isinstance(r, Column) else F.lit(float(r))
+    base = points.select(*keys, x.alias("_x"), y.alias("_y"), r.alias("_r"))
+    base = base.withColumn("cx", F.explode(F.sequence(cell_of(F.col("_x") - F.col("_r"), cell), cell_of(F.col("_x") + F.col("_r"), cell))))
+    off = (F.col("cx") + 0.5) * cell - F.col("_x")
+    half = F.sqrt(F.col("_r") * F.col("_r") - off * off)
+    lo, hi = F.ceil((F.col("_y") - half) / cell - 0.5).cast("int"), F.floor((F.col("_y") + half) / cell - 0.5).cast("int")
+    return base.filter(F.abs(off) <= F.col("_r")).select(*keys, "cx", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
+
+
 # ---- stand-off ------------------------------------------------------------------
 
 

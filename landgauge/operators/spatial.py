@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landgauge.operators.cells import cell_of, cover, edge_columns, overlap, ring_edges
+from landgauge.operators.cells import cell_of, cover, edge_columns, ring_edges
 from landgauge.operators.ordering import first_per
+from landgauge.operators.overlay import areas, covered_by, overlap_areas
 
 SALTS = 4
 
@@ -250,8 +251,8 @@ def points_in_polygons(
 
 
 def polygons_intersect(a: DataFrame, a_key: str, b: DataFrame, b_key: str, cell: float) -> DataFrame:
-    """Distinct pairs that share area on the grid (covers of both)."""
-    return overlap(a, [a_key], b, [b_key], cell).select(a_key, b_key)
+    """Distinct pairs that share area (fragments of both, see overlay.fragments)."""
+    return overlap_areas(a, [a_key], b, [b_key], cell).select(a_key, b_key)
 
 
 def containing_area(
@@ -264,14 +265,13 @@ def containing_area(
 
 
 def covers_site(
-    site_cover: DataFrame, site_key: str, area_cover: DataFrame, area_key: str, cell: float,
+    sites: DataFrame, site_key: str, covering: DataFrame, area_key: str, cell: float,
     inside: DataFrame, share: float = 0.1,
 ) -> DataFrame:
-    """Pairs where the site's point is inside or at least `share` of its area is covered."""
-    size = site_cover.groupBy(site_key).agg(F.sum("area").alias("_size"))
+    """Pairs where the site's point is inside or at least `share` of its area is covered (fragments of both)."""
     part = (
-        overlap(site_cover, [site_key], area_cover, [area_key], cell)
-        .join(size, site_key)
+        overlap_areas(sites, [site_key], covering, [area_key], cell)
+        .join(areas(sites, [site_key]).withColumnRenamed("area", "_size"), site_key)
         .filter(F.col("area") >= share * F.col("_size"))
         .select(site_key, area_key)
     )
@@ -282,10 +282,10 @@ def area_weighted(
     target: DataFrame, t_key: str, source: DataFrame, s_key: str, cell: float, facts: DataFrame,
     amount: str, means: Sequence[str],
 ) -> DataFrame:
-    """Areal transfer: sum of amount x share, and amount-weighted means with per-mean null denominators."""
-    size = source.groupBy(s_key).agg(F.sum("area").alias("_size"))
+    """Areal transfer between fragments: sum of amount x share, and amount-weighted means with per-mean null denominators."""
+    size = areas(source, [s_key]).withColumnRenamed("area", "_size")
     w = F.col(amount) * F.col("area") / F.col("_size")
-    shared = overlap(target, [t_key], source, [s_key], cell).join(size, s_key).join(facts, s_key)
+    shared = overlap_areas(target, [t_key], source, [s_key], cell).join(size, s_key).join(facts, s_key)
     return shared.groupBy(t_key).agg(
         F.sum(w).alias(amount),
         *[
@@ -293,3 +293,10 @@ def area_weighted(
             for m in means
         ],
     )
+
+
+def supplement(candidates: DataFrame, key: str, existing: DataFrame, cell: float, most: float = 0.5) -> DataFrame:
+    """Keys of the candidates of which existing polygons, overlaps counted once, cover less than `most` (fragments of both)."""
+    shared = covered_by(candidates, [key], existing, [], cell)
+    size = areas(candidates, [key]).withColumnRenamed("area", "_size")
+    return size.join(shared, key, "left").filter(F.coalesce("area", F.lit(0.0)) < most * F.col("_size")).select(key)
