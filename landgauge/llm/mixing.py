@@ -33,9 +33,7 @@ def text_key(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Lower-cased words between white space, with empty strings where it repeats."""
-    spaced = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    for mark in "\n\t\r":
-        spaced = F.replace(spaced, F.lit(mark), F.lit(" "))
+    spaced = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "\n\t\r", "   ")
     return F.split(spaced, " ")  # one plain character is split at without a regular expression
 
 
@@ -74,23 +72,28 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tupl
 
 
 def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """key, rows, tokens, p_0 .. p_k: each different text with its posterior over `domains`; a text without words has the priors."""
+    """key, rows, tokens, p_0 .. p_k: each different text with its posterior over `domains`; a text without words has the priors.
+
+    The posterior needs only how much likelier each word is in a domain than in the first one, so that is what is summed.
+    """
     table, priors = classifier(docs, labelled, domains)
-    k = range(len(domains))
+    k = range(1, len(domains))
+    ratios = cut(table.select("bucket", *[(F.col(f"ll_{i}") - F.col("ll_0")).alias(f"d_{i}") for i in k]))
     words = docs.select(text_key(F.col("text")).alias("key"), F.explode(words_of(F.col("text"))).alias("w")).filter("w <> ''")
-    means = (
+    sums = (
         words.select("key", bucket_of(F.col("w")).alias("bucket"))
-        .join(F.broadcast(table), "bucket")  # BUCKETS rows
-        .groupBy("key").agg(F.count(F.lit(1)).alias("words"), *[F.avg(f"ll_{i}").alias(f"m_{i}") for i in k])
+        .join(F.broadcast(ratios), "bucket")  # BUCKETS rows
+        .groupBy("key").agg(F.count(F.lit(1)).alias("words"), *[F.sum(F.coalesce(f"d_{i}", F.lit(0.0))).alias(f"s_{i}") for i in k])
     )
     texts = docs.groupBy(text_key(F.col("text")).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-    both = texts.join(means, "key", "left")
+    both = texts.join(sums, "key", "left")
     tokens = F.round(F.coalesce("words", F.lit(0)) / F.col("rows")).cast("long")  # equal texts have equally many
-    logits = both.select("key", "rows", tokens.alias("tokens"), *[(F.lit(priors[i]) + EVIDENCE_WORDS * F.coalesce(f"m_{i}", F.lit(0.0))).alias(f"l_{i}") for i in k])
-    top = F.greatest(*[F.col(f"l_{i}") for i in k]) if len(domains) > 1 else F.col("l_0")
-    raised = logits.select("key", "rows", "tokens", *[F.exp(F.col(f"l_{i}") - top).alias(f"e_{i}") for i in k])
-    total = sum((F.col(f"e_{i}") for i in k), F.lit(0.0))
-    return raised.select("key", "rows", "tokens", *[(F.col(f"e_{i}") / total).alias(f"p_{i}") for i in k])
+    logits = [F.lit(0.0), *[F.lit(priors[i] - priors[0]) + EVIDENCE_WORDS * F.coalesce(F.col(f"s_{i}") / F.col("words"), F.lit(0.0)) for i in k]]
+    told = both.select("key", "rows", tokens.alias("tokens"), *[x.alias(f"l_{i}") for i, x in enumerate(logits)])
+    top = F.greatest(*[F.col(f"l_{i}") for i in range(len(domains))]) if len(domains) > 1 else F.col("l_0")
+    raised = told.select("key", "rows", "tokens", *[F.exp(F.col(f"l_{i}") - top).alias(f"e_{i}") for i in range(len(domains))])
+    total = sum((F.col(f"e_{i}") for i in range(len(domains))), F.lit(0.0))
+    return raised.select("key", "rows", "tokens", *[(F.col(f"e_{i}") / total).alias(f"p_{i}") for i in range(len(domains))])
 
 
 def fit_rates(members: DataFrame, shares: list[float], low: float, high: float, keep_all: bool) -> tuple[DataFrame, list[float], list[float]]:
@@ -159,7 +162,10 @@ def fit_rates(members: DataFrame, shares: list[float], low: float, high: float,
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], low: float = 0.0, high: float = 4.0, keep_all: bool = False) -> DataFrame:
-    """key, rows, tokens, rate, p_0 .. p_k per different text of `docs` (doc_id, text); domains in the order of `targets`.
+    """key, rows, tokens, rate, p_0 .. p_k, targets, expected per different text of `docs` (doc_id, text); domains in the order of `targets`.
+
+    `targets` and `expected` are the domains' token totals, wanted and reached, the same in every row: where the bounds on the
+    rates keep a target out of reach, they differ.
 
     `labelled` (doc_id, domain) teaches the classifier; domains that `targets`
     lacks and null ids teach nothing, and of several domains of one id the
@@ -170,8 +176,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], low: fl
     """
     domains = list(targets)
     members = cut(memberships(docs, labelled, domains))
-    rated, _, _ = fit_rates(members, [float(targets[d]) for d in domains], low, high, keep_all)
-    return rated
+    rated, wanted, reached = fit_rates(members, [float(targets[d]) for d in domains], low, high, keep_all)
+    return rated.withColumns({"targets": F.array(*map(F.lit, wanted)), "expected": F.array(*map(F.lit, reached))})
 
 
 def copies_of(rate: Column, *identity: Column) -> Column:
@@ -181,17 +187,20 @@ def copies_of(rate: Column, *identity: Column) -> Column:
 
 
 def per_document(docs: DataFrame, rated: DataFrame) -> DataFrame:
-    """doc_id, tokens, posterior (array), rate, copies of every row of `docs`."""
+    """doc_id, tokens, posterior (array), rate, copies, targets, expected of every row of `docs`.
+
+    Null and repeated ids are rows like any other; equal rows have equally many copies; other columns are not read.
+    """
     posterior = F.array(*[c for c in rated.columns if c.startswith("p_")])
-    rates = cut(rated.select("key", "tokens", posterior.alias("posterior"), "rate"))
+    rates = cut(rated.select("key", "tokens", posterior.alias("posterior"), "rate", "targets", "expected"))
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key")))
-    return rows.join(rates, "key").select("doc_id", "tokens", "posterior", "rate", copies_of(F.col("rate"), F.col("doc_id"), F.col("key")).alias("copies"))
+    copies = copies_of(F.col("rate"), F.col("doc_id"), F.col("key")).alias("copies")
+    return rows.join(rates, "key").select("doc_id", "tokens", "posterior", "rate", copies, "targets", "expected")
 
 
 def apply_copies(docs: DataFrame, rated: DataFrame) -> DataFrame:
-    """Every row of `docs` as many times as its copies say."""
-    rates = cut(rated.select(F.col("key").alias("_key"), F.col("rate").alias("_rate")))
-    marked = docs.withColumn("_key", text_key(F.col("text"))).join(rates, "_key")
-    copies = copies_of(F.col("_rate"), F.col("doc_id").cast("long"), F.col("_key"))
-    wanted = marked.withColumn("_copies", copies).filter("_copies > 0")
-    return wanted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Every row of `docs`, whatever its columns are called, as many times as its copies say; an empty table stays empty."""
+    rates = cut(rated.select("key", "rate"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("id")).join(rates, "key")
+    wanted = rows.select("row", copies_of(F.col("rate"), F.col("id"), F.col("key")).alias("copies")).filter("copies > 0")
+    return wanted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
