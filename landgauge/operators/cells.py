@@ -1,10 +1,6 @@
-"""Polygon algebra on a square grid: overlays become equi-joins on cell ids.
+"""Polygons on a square grid: the cells of each with the exact area inside, discs of cells, growth by cells.
 
-`cover` gives every polygon its cells with the exact area inside each one, so
-unions are distinct cells, differences anti-joins and intersections inner
-joins. Area is exact per polygon; where two polygons both cover a cell only
-partly, their overlap inside that one cell is taken as proportional, so the
-error of an overlay is bounded by the partial cells and falls with cell size.
+Areas of two and more polygons in one cell are the matter of `overlay`, regions of whole cells that of `regions`.
 """
 
 from __future__ import annotations
@@ -15,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgauge.functions.geometry import edges_of, signed_ring_area
-from landgauge.operators.graph import components
 
 EPS = 1e-9
 
@@ -135,100 +130,3 @@ def dilate(cells: DataFrame, keys: Sequence[str], k: int, within: DataFrame | No
     if within is not None:
         grown = grown.join(within.select(*within_keys, "cx", "cy").distinct(), [*within_keys, "cx", "cy"], "left_semi")
     return grown
-
-
-def erase(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """a minus b; whole cells drop out, partial blockers reduce the area left."""
-    blockers = b.groupBy(*keys, "cx", "cy").agg(F.sum("area").alias("_cut"), F.max("full").alias("_full"))
-    left = F.when(F.col("_cut").isNull(), F.col("area")).when(F.col("_full"), 0.0).otherwise(
-        F.when(F.col("full"), F.greatest(F.col("area") - F.col("_cut"), F.lit(0.0))).otherwise(
-            F.greatest(F.col("area") - F.col("_cut"), F.lit(0.0))
-        )
-    )
-    return (
-        a.join(blockers, [*keys, "cx", "cy"], "left")
-        .withColumn("_left", left)
-        .filter(F.col("_left") > 0)
-        .withColumn("full", F.col("full") & F.col("_cut").isNull())
-        .withColumn("area", F.col("_left"))
-        .select(*a.columns)
-    )
-
-
-def dissolve(df: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
-    """Union per key without double counting."""
-    size = float(cell) * cell
-    return df.groupBy(*keys, "cx", "cy").agg(
-        F.when(F.max("full"), F.lit(size)).otherwise(F.least(F.sum("area"), F.lit(size))).alias("area"),
-        F.max("full").alias("full"),
-    )
-
-
-def overlap(a: DataFrame, a_keys: Sequence[str], b: DataFrame, b_keys: Sequence[str], cell: float) -> DataFrame:
-    """a_keys, b_keys, area shared (m2); covers must not repeat a cell per key."""
-    size = float(cell) * cell
-    left = a.select(*a_keys, "cx", "cy", F.col("area").alias("_a"))
-    right = b.select(*b_keys, "cx", "cy", F.col("area").alias("_b"))
-    return (
-        left.join(right, ["cx", "cy"])
-        .groupBy(*a_keys, *b_keys)
-        .agg(F.sum(F.col("_a") * F.col("_b") / size).alias("area"))
-    )
-
-
-def clip(a: DataFrame, keys: Sequence[str], mask: DataFrame, mask_keys: Sequence[str] = ()) -> DataFrame:
-    """Cells of a that lie in the mask's cells."""
-    return a.join(mask.select(*mask_keys, "cx", "cy").distinct(), [*mask_keys, "cx", "cy"], "left_semi")
-
-
-def opening(cells: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """Erode then dilate by k cells, clipped to the input: slivers thinner than 2k+1 go."""
-    span = 2 * k + 1
-    hits = F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx in range(-k, k + 1) for dy in range(-k, k + 1)])
-    base = cells.select(*keys, "cx", "cy").distinct()
-    kept = (
-        base.select(*keys, F.explode(hits).alias("_s"))
-        .groupBy(*keys, F.col("_s.cx").alias("cx"), F.col("_s.cy").alias("cy"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") == span * span)
-    )
-    back = kept.select(*keys, F.explode(hits).alias("_s")).select(*keys, "_s.cx", "_s.cy").distinct()
-    return cells.join(back, [*keys, "cx", "cy"], "left_semi")
-
-
-def parts(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds `part`: the 4-neighbour component of each cell within its key."""
-    keys = list(keys)
-    node = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("cx").cast("string"), F.col("cy").cast("string"))
-    base = cells.select(*keys, "cx", "cy").distinct().withColumn("_node", node)
-    right = base.select(*keys, (F.col("cx") - 1).alias("cx"), "cy", F.col("_node").alias("_to"))
-    up = base.select(*keys, "cx", (F.col("cy") - 1).alias("cy"), F.col("_node").alias("_to"))
-    edges = base.join(right.unionByName(up), [*keys, "cx", "cy"]).select(F.col("_node").alias("u"), F.col("_to").alias("v"))
-    label = components(edges, nodes=base.select(F.col("_node").alias("node")))
-    return (
-        cells.withColumn("_node", node)
-        .join(label.select(F.col("node").alias("_node"), F.col("component").alias("part")), "_node")
-        .drop("_node")
-    )
-
-
-def fill_holes(cells: DataFrame, keys: Sequence[str], cell: float, max_m2: float) -> DataFrame:
-    """Adds enclosed empty areas up to max_m2 (complement parts that miss the frame)."""
-    keys = list(keys)
-    frame = cells.groupBy(*keys).agg(*[f(c).alias(n) for f, c, n in (
-        (F.min, "cx", "_x0"), (F.max, "cx", "_x1"), (F.min, "cy", "_y0"), (F.max, "cy", "_y1"))])
-    board = (
-        frame.withColumn("cx", F.explode(F.sequence("_x0", "_x1")))
-        .withColumn("cy", F.explode(F.sequence("_y0", "_y1")))
-    )
-    empty = board.join(cells.select(*keys, "cx", "cy").distinct(), [*keys, "cx", "cy"], "left_anti")
-    on_frame = (F.col("cx") == F.col("_x0")) | (F.col("cx") == F.col("_x1")) | (F.col("cy") == F.col("_y0")) | (F.col("cy") == F.col("_y1"))
-    labelled = parts(empty.withColumn("_edge", on_frame), keys)
-    small = labelled.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("_n"), F.max("_edge").alias("_open")).filter(
-        (~F.col("_open")) & (F.col("_n") * cell * cell <= max_m2)
-    )
-    filled = labelled.join(small, [*keys, "part"], "left_semi").select(*keys, "cx", "cy")
-    size = F.lit(float(cell) * cell)
-    return cells.select(*keys, "cx", "cy", "area", "full").unionByName(
-        filled.withColumn("area", size).withColumn("full", F.lit(True))
-    )

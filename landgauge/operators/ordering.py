@@ -2,10 +2,12 @@
 
 A window over a key that holds a third of the rows (or over no key at all)
 would sort that whole group in one task. Groups up to HOT_ROWS rows do go
-through one ordinary window; larger groups are first cut into value ranges:
-a quantile sketch of just those groups gives the range borders, each range is
-summed in its own task, and the few range totals give the offsets. The result
-is exact in both cases; only the cut points are approximate.
+through one ordinary window; larger groups are first cut into value ranges. The
+borders are values of sampled rows, so any type that sorts can be cut, and there
+are as many as the counted size of the group asks for; each range is summed in
+its own task, and the few range totals give the offsets. The result is exact in
+both cases; only the cut points depend on the sample. Where no group is that
+large (which is counted first), nothing is cut and no join is planned.
 """
 
 from __future__ import annotations
@@ -15,60 +17,70 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landgauge.session import shuffle_width
+from landgauge.session import cut_lineage
 
-# Rows one task may sort for one group. At most total/HOT_ROWS groups can be
-# hot, which bounds the broadcast table of range borders: 10^12 rows give at
-# most 250,000 border arrays.
+# Rows one task may sort for one group.
 HOT_ROWS = 4_000_000
 HOT_CONF = "landgauge.hotRows"
+# A range is meant to hold half of that, and SAMPLES sampled rows tell where it ends.
+SAMPLES = 64
+# Borders are held by every task up to this many (2 for each HOT_ROWS rows: a million are 2 * 10^12 rows); else they are joined.
+MOST_BORDERS = 1_000_000
 
 
 def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_CONF, str(HOT_ROWS)))
 
 
-def order_key(col: Column, dtype: str) -> Column:
-    """A double that never decreases when `col` grows (used for range borders only)."""
-    if dtype == "string":
-        # first six bytes as a number: monotone in the binary string order
-        return F.conv(F.rpad(F.substring(F.hex(col), 1, 12), 12, "0"), 16, 10).cast("double")
-    if dtype in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if dtype == "date":
-        return F.unix_date(col).cast("double")
-    return col.cast("double")
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys of groups with more rows than one task should sort."""
+    """Keys and _size of groups with more rows than one task should sort."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    return sizes.filter(F.col("_size") > hot_rows(df)).select(*keys)
+    return sizes.filter(F.col("_size") > hot_rows(df))
+
+
+def range_borders(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> DataFrame:
+    """keys, _borders, _coarse: sorted values that cut each hot group into ranges of about half of HOT_ROWS rows.
+
+    A range ends with its border. `_coarse` has the last border of each block of about the root of their number.
+    """
+    by = [c for c in hot.columns if c != "_size"]
+    ranges = F.ceil(F.col("_size") * 2 / F.lit(hot_rows(df)))
+    every = F.greatest(F.floor(F.col("_size") / (ranges * SAMPLES)), F.lit(1))
+    hashed = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    rows = df.join(hot, by).filter(F.col(order).isNotNull() & (F.pmod(F.xxhash64(*hashed), every) == 0))
+    values = rows.groupBy(*keys, order, ranges.alias("_ranges")).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = values.withColumn("_part", F.ceil(upto * F.col("_ranges") / F.sum("_n").over(group)))
+    ends = placed.filter(F.col("_part") < F.col("_ranges")).groupBy(*keys, "_part").agg(F.max(order).alias("_end"))
+    borders = ends.groupBy(*keys).agg(F.sort_array(F.collect_list("_end")).alias("_borders"))
+    step = F.ceil(F.sqrt(F.size("_borders"))).cast("int")
+    last = F.transform(F.sequence(step, F.size("_borders"), step), lambda i: F.element_at("_borders", i))
+    return borders.withColumn("_coarse", F.when(F.size("_borders") >= step, last))
 
 
 def cut_hot(
     df: DataFrame, keys: Sequence[str], order: str, out: str = "_rng", hot: DataFrame | None = None
 ) -> DataFrame:
-    """Adds a range number of `order` inside hot groups; null elsewhere.
+    """Adds a range number of `order` inside hot groups; null elsewhere. Nulls are in the first range.
 
-    `hot` may give the hot groups by a subset of the keys when they are cheaper to count.
+    `hot` may give the hot groups (with _size) by a subset of the keys when they are cheaper to count.
     """
     keys = list(keys)
-    n = shuffle_width(df.sparkSession)
-    key = order_key(F.col(order), dict(df.dtypes)[order])
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
     on = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    hot = hot if hot is not None else hot_keys(src, on)
-    borders = (
-        src.join(F.broadcast(hot), hot.columns, "left_semi")
-        .groupBy(*on)
-        .agg(F.percentile_approx(key, probs, F.lit(10000)).alias("_borders"))
-    )
-    place = F.size(F.filter("_borders", lambda b: b < key))
+    hot = cut_lineage(hot if hot is not None else hot_keys(src, on))
+    n = hot.agg(F.sum(F.ceil(F.col("_size") * 2 / F.lit(hot_rows(df))))).first()[0]
+    if not n:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    borders = range_borders(src, on, order, F.broadcast(hot) if n <= MOST_BORDERS else hot)
+    key = F.col(order)
+    step = F.ceil(F.sqrt(F.size("_borders"))).cast("int")
+    block = F.size(F.filter("_coarse", lambda b: b < key))
+    place = block * step + F.size(F.filter(F.slice("_borders", block * step + 1, step), lambda b: b < key))
     return (
-        src.join(F.broadcast(borders), on, "left")
-        .withColumn(out, F.when(F.col("_borders").isNotNull(), place))
+        src.join(F.broadcast(borders) if n <= MOST_BORDERS else borders, on, "left")
+        .withColumn(out, F.when(F.col("_borders").isNotNull(), F.when(key.isNull(), 0).otherwise(place)))
         .select(*df.columns, out)
     )
 
@@ -95,8 +107,8 @@ def range_offsets(
 
 
 def join_offsets(df: DataFrame, offsets: DataFrame, keys: Sequence[str], rng: str = "_rng") -> DataFrame:
-    """Left join of the range offsets: at most shuffle-width rows per hot group, so broadcast."""
-    return df.join(F.broadcast(offsets), [*keys, rng], "left")
+    """Left join of the range offsets, one row per range."""
+    return df.join(offsets, [*keys, rng], "left")
 
 
 def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -254,7 +266,8 @@ def next_rows(
     Ask for both sides in one call: every call reads its input again to size the keys.
     """
     keys = list(keys)
-    cut = cut_hot(df, keys, order)
+    # ranges are cut by both, so rows of one order value may be in several
+    cut = cut_hot(df.withColumn("_at", F.struct(order, tie)), keys, "_at")
     payload = F.struct(*[F.col(c) for c in cols])
     w = Window.partitionBy(*keys, "_rng").orderBy(order, tie)
     at = F.struct(order, tie)
@@ -280,7 +293,7 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum per key; hot keys are cut into order ranges."""
     keys = list(keys)
-    cut = cut_hot(df.withColumn("_val", value), keys, order)
+    cut = cut_hot(df.withColumn("_val", value).withColumn("_at", F.struct(order, tie)), keys, "_at")
     offsets = range_offsets(cut, keys, {"v": F.col("_val")})
     w = Window.partitionBy(*keys, "_rng").orderBy(order, tie)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -1,7 +1,9 @@
 """Point and polygon joins as grid-cell equi-joins with an exact residual test.
 
-Dense cells are split: the row-rich side gets a salt, the probing side is
-repeated per salt, so one city cell never becomes one task.
+Cells are counted first. One that holds more than LEAF_ROWS rows is split into as
+many parts as its count asks for: its rows get a part number by hash (so points on
+one spot are split as well) and what probes the cell is repeated per part. Where no
+cell is that full, nothing is repeated and no join is planned for it.
 """
 
 from __future__ import annotations
@@ -15,16 +17,32 @@ from pyspark.sql import functions as F
 from landgauge.operators.cells import cell_of, cover, edge_columns, ring_edges
 from landgauge.operators.ordering import first_per
 from landgauge.operators.overlay import areas, covered_by, overlap_areas
+from landgauge.session import cut_lineage
 
-SALTS = 4
+# Rows of one cell that one task should join.
+LEAF_ROWS = 200_000
+LEAF_CONF = "landgauge.leafRows"
+# Full cells are held by every task up to this many (they hold more than LEAF_ROWS rows each); else they are joined.
+MOST_FULL = 500_000
+MOST_LEVELS, FULL_AT_FINEST = 20, 64
 
 
-def _salt(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+def split_full(rows: DataFrame, probe: DataFrame, keys: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, probe) with `_part`: both join on keys and _part as they would on keys, and no part holds much more than LEAF_ROWS rows.
 
-
-def _per_salt(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    `by` are the columns of `rows` whose hash tells the part; `keys` are what both join on.
+    """
+    leaf = int(rows.sparkSession.conf.get(LEAF_CONF, str(LEAF_ROWS)))
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > leaf)
+    full = cut_lineage(counted.select(*keys, F.ceil(F.col("_n") / leaf).cast("int").alias("_parts")))
+    n = full.count()
+    if not n:
+        return rows.withColumn("_part", F.lit(0)), probe.withColumn("_part", F.lit(0))
+    known = F.broadcast(full) if n <= MOST_FULL else full
+    parts = F.coalesce("_parts", F.lit(1))
+    split = rows.join(known, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    asked = probe.join(known, list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return split, asked
 
 
 def _around(x: Column, y: Column, cell: float, reach: int = 1) -> Column:
@@ -38,15 +56,16 @@ def within_distance(
 ) -> DataFrame:
     """All (a, b) pairs no more than r metres apart, with `dist`. Keep `a` the smaller side."""
     probe = a.withColumn("_c", F.explode(_around(F.col(a_xy[0]), F.col(a_xy[1]), r)))
-    probe = _per_salt(probe.select(*a.columns, F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy")))
+    probe = probe.select(*a.columns, F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
     rows = b.withColumn("_cx", cell_of(F.col(b_xy[0]), r)).withColumn("_cy", cell_of(F.col(b_xy[1]), r))
-    rows = _salt(rows, b.columns)
+    hashed = [c for c, kind in b.dtypes if not kind.startswith("map")]
+    rows, probe = split_full(rows, probe, ["_cx", "_cy"], hashed)
     gap = F.hypot(F.col(a_xy[0]) - F.col(b_xy[0]), F.col(a_xy[1]) - F.col(b_xy[1]))
     return (
-        rows.join(probe, ["_cx", "_cy", "_salt"])
+        rows.join(probe, ["_cx", "_cy", "_part"])
         .withColumn("dist", gap)
         .filter(F.col("dist") <= r)
-        .drop("_cx", "_cy", "_salt")
+        .drop("_cx", "_cy", "_part")
     )
 
 
@@ -56,6 +75,11 @@ def has_within(a: DataFrame, b: DataFrame, r: float, key: str, a_xy=("sx", "sy")
     return within_distance(a.select(key, *a_xy), spots, r, a_xy, ("_bx", "_by")).select(key).distinct()
 
 
+def radius_name(r: float) -> str:
+    """800 of 800.0, 0_5 of 0.5: what the columns of a radius end with."""
+    return f"{r:g}".replace(".", "_")
+
+
 def catchment_totals(
     origins: DataFrame,
     key: str,
@@ -100,17 +124,30 @@ def catchment_totals(
     probe = probe.withColumn("_cut", cut)
 
     def sums(reach: Column) -> list[Column]:
-        return [F.sum(F.when(reach <= r, F.col(n))).alias(f"{n}_{int(r)}") for r in radii for n in measures]
+        return [F.sum(F.when(reach <= r, F.col(n))).alias(f"{n}_{radius_name(r)}") for r in radii for n in measures]
 
     cells = spots.groupBy("_cx", "_cy").agg(*[F.sum(n).alias(n) for n in measures])
     whole = probe.filter(~F.col("_cut")).join(cells, ["_cx", "_cy"]).groupBy(key).agg(*sums(F.col("_far")))
-    ring = _per_salt(probe.filter("_cut")).join(_salt(spots, ["_px", "_py"]), ["_cx", "_cy", "_salt"])
+    dots, asked = split_full(spots, probe.filter("_cut"), ["_cx", "_cy"], ["_px", "_py"])
+    ring = asked.join(dots, ["_cx", "_cy", "_part"])
     edge = ring.withColumn("_d", F.hypot(F.col("_px") - F.col("_ox"), F.col("_py") - F.col("_oy"))).groupBy(key).agg(*sums(F.col("_d")))
-    names = [f"{n}_{int(r)}" for r in radii for n in measures]
+    names = [f"{n}_{radius_name(r)}" for r in radii for n in measures]
     both = whole.unionByName(edge).groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
     return origins.join(both, key, "left").select(*origins.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
+def _levels(sites: DataFrame, max_m: float, k: int) -> int:
+    """How many levels it takes until no cell holds more than a few times k sites (3 to MOST_LEVELS)."""
+    finest = max_m / 2 ** (MOST_LEVELS - 1)
+    cells = sites.groupBy(F.floor(F.col("_bx") / finest).alias("x"), F.floor(F.col("_by") / finest).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    halved = F.array(*[F.lit(i) for i in range(MOST_LEVELS)])
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2), F.col("l")))
+    coarse = cells.withColumn("l", F.explode(halved)).groupBy("l", up("x").alias("x"), up("y").alias("y")).agg(F.sum("n").alias("n"))
+    fullest = {r.l: r.n for r in coarse.groupBy("l").agg(F.max("n").alias("n")).collect()}  # MOST_LEVELS rows
+    fit = [l for l in range(MOST_LEVELS) if fullest.get(l, 0) <= FULL_AT_FINEST + 4 * k]
+    return max(3, MOST_LEVELS - max(fit, default=0))
+
+
 def nearest(
     a: DataFrame,
     a_key: str,
@@ -120,7 +157,7 @@ def nearest(
     k: int = 1,
     a_xy: tuple[str, str] = ("sx", "sy"),
     b_xy: tuple[str, str] = ("x", "y"),
-    levels: int = 7,
+    levels: int | None = None,
     cols: Sequence[str] = (),
 ) -> DataFrame:
     """a_key, b_key, dist, nn_rank for the k nearest b no more than max_m away.
@@ -128,12 +165,15 @@ def nearest(
     Cells double in size per level. Counting b per cell and level tells, for
     each occupied a-cell, the first level whose 3 x 3 block holds k points;
     their distance bounds the search, so sparse areas look far and dense areas
-    look close. Only the k lowest keys of coincident b points are kept.
+    look close. Only the k lowest keys of coincident b points are kept. Levels
+    go down (if `levels` does not say how far) until the fullest cell holds few
+    points.
     """
-    base = max_m / 2 ** (levels - 1)
     bx, by = F.col("_bx"), F.col("_by")
     sites = b.select(F.col(b_key), F.col(b_xy[0]).alias("_bx"), F.col(b_xy[1]).alias("_by"), *cols)
     sites = first_per(sites, ["_bx", "_by"], [F.col(b_key)], k)
+    levels = levels or _levels(sites, max_m, k)
+    base = max_m / 2 ** (levels - 1)
     level = F.array(*[F.lit(i) for i in range(levels + 2)])
 
     def at_level(v: Column, lv: Column) -> Column:
@@ -178,8 +218,9 @@ def nearest(
         .withColumn("_gx", at_level(bx, F.col("_l")))
         .withColumn("_gy", at_level(by, F.col("_l")))
     )
+    placed, probes = split_full(placed, probes, ["_l", "_gx", "_gy"], ["_bx", "_by", b_key])
     pairs = (
-        probes.join(placed, ["_l", "_gx", "_gy"])
+        probes.join(placed, ["_l", "_gx", "_gy", "_part"])
         .withColumn("dist", F.hypot(F.col("_ax") - bx, F.col("_ay") - by))
         .filter(F.col("dist") <= F.col("_r"))
         .select(a_key, b_key, "dist", *cols)
@@ -208,11 +249,11 @@ def adaptive_radius(
     counts = catchment_totals(a, a_key, obs, radii, {"n": F.lit(1)}, **xy)
     radius, n = F, F
     for r in radii:
-        enough = F.col(f"n_{int(r)}") >= min_n
-        radius, n = radius.when(enough, F.lit(float(r))), n.when(enough, F.col(f"n_{int(r)}"))
+        count = F.col(f"n_{radius_name(r)}")
+        radius, n = radius.when(count >= min_n, F.lit(float(r))), n.when(count >= min_n, count)
     last = radii[-1]
     return counts.select(
-        *a.columns, radius.otherwise(F.lit(float(last))).alias("radius"), n.otherwise(F.col(f"n_{int(last)}")).alias("n")
+        *a.columns, radius.otherwise(F.lit(float(last))).alias("radius"), n.otherwise(F.col(f"n_{radius_name(last)}")).alias("n")
     )
 
 
@@ -233,7 +274,8 @@ def points_in_polygons(
         p_key, F.col(p_xy[0]).alias("_x"), F.col(p_xy[1]).alias("_y"),
         cell_of(F.col(p_xy[0]), cell).alias("cx"), cell_of(F.col(p_xy[1]), cell).alias("cy"),
     )
-    cand = _salt(pts, [p_key]).join(_per_salt(tiles.select(g_key, "cx", "cy", "full")), ["cx", "cy", "_salt"])
+    dots, asked = split_full(pts, tiles.select(g_key, "cx", "cy", "full"), ["cx", "cy"], [p_key])
+    cand = dots.join(asked, ["cx", "cy", "_part"])
     sure = cand.filter("full").select(p_key, g_key)
     edges = edge_columns(ring_edges(polys, [g_key], rings), cell)
     at_x = F.col("y1") + (F.col("y2") - F.col("y1")) * (F.col("_x") - F.col("x1")) / (F.col("x2") - F.col("x1"))

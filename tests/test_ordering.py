@@ -64,11 +64,37 @@ def test_next_rows_and_running_total_hot(hot):
     assert run.tot.tolist() == want.sort_index().tolist()
 
 
-def test_string_order_key_is_monotone(spark):
-    words = ["", "a", "ab", "abc", "abcdefgh", "b", "zz", "é"]
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", O.order_key(F.col("w"), "string").alias("o")).collect()
-    by_word = sorted(rows, key=lambda r: r.w.encode())
-    assert [r.o for r in by_word] == sorted(r.o for r in rows)
+def ranges(df, keys, order):
+    cut = O.cut_hot(df, keys, order)
+    assert cut.columns == [*df.columns, "_rng"]
+    return cut.toPandas()
+
+
+def test_strings_with_a_long_common_prefix_are_cut(hot):
+    pdf = pd.DataFrame({"w": [f"Customer#{i:09d}" for i in range(3000)]})
+    got = ranges(hot.createDataFrame(pdf), [], "w")
+    sizes = got.groupby("_rng").w.agg(["count", "min", "max"]).sort_index()
+    assert sizes["count"].max() <= 40 and (sizes["min"].iloc[1:].to_numpy() > sizes["max"].iloc[:-1].to_numpy()).all()
+
+
+def test_equal_values_are_cut_by_their_tie(hot):
+    pdf = pd.DataFrame({"id": np.arange(2000), "v": 5.0})
+    df = hot.createDataFrame(pdf)
+    tie = df.select("id", F.struct("v", "id").alias("at"))
+    assert ranges(tie, [], "at").groupby("_rng").id.count().max() <= 40
+    got = O.running_total(df, [], "v", "id", F.lit(1), "n").toPandas().sort_values("id")
+    assert got.n.tolist() == list(range(1, 2001))
+    assert O.row_numbers(df, "v", "id").toPandas().sort_values("id").rn.tolist() == list(range(1, 2001))
+
+
+def test_a_thousand_hot_groups_and_nulls(hot):
+    pdf = pd.DataFrame({"k": np.repeat(np.arange(1000), 50), "v": np.tile(np.arange(50.0), 1000)})
+    df = hot.createDataFrame(pdf).withColumn("v", F.when(F.col("v") > 3, F.col("v")))
+    got = ranges(df, ["k"], "v")
+    assert got.groupby("k")._rng.nunique().min() >= 2 and got._rng.notna().all()
+    assert (got[got.v.isna()]._rng == 0).all()
+    plain = ranges(df.filter("k < 10 and v > 20"), ["k"], "v")
+    assert plain._rng.isna().all()
 
 
 def test_rank_family_matches_pandas(hot):

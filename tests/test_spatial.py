@@ -75,73 +75,6 @@ def test_points_in_polygons_equal_ray_casting(spark):
     assert got == want
 
 
-def test_erase_and_overlap_add_up(spark):
-    _, _, df = stars(spark)
-    a = K.cover(df.filter("gid < 6"), ["gid"], 50.0)
-    b = K.dissolve(K.cover(df.filter("gid >= 6"), ["gid"], 50.0), [], 50.0)
-    full_b = b.withColumn("area", F.lit(2500.0)).withColumn("full", F.lit(True)).withColumn("layer", F.lit(1))
-    left = {r.gid: r.s for r in K.erase(a, full_b).groupBy("gid").agg(F.sum("area").alias("s")).collect()}
-    both = {r.gid: r.s for r in K.overlap(a, ["gid"], full_b, ["layer"], 50.0).select("gid", F.col("area").alias("s")).collect()}
-    total = {r.gid: r.s for r in a.groupBy("gid").agg(F.sum("area").alias("s")).collect()}
-    for gid, t in total.items():
-        assert math.isclose(left.get(gid, 0) + both.get(gid, 0), t, rel_tol=1e-9)
-
-
-def grid(seed, n=14, p=0.7):
-    rng = np.random.default_rng(seed)
-    return rng.random((n, n)) < p
-
-
-def as_cells(spark, mask):
-    rows = [(1, int(i), int(j), 1.0, True) for i, j in zip(*np.nonzero(mask))]
-    return spark.createDataFrame(rows, "k int, cx int, cy int, area double, full boolean")
-
-
-def components_of(mask):
-    label, out = {}, []
-    for s in zip(*np.nonzero(mask)):
-        if s in label:
-            continue
-        stack, part = [s], []
-        label[s] = len(out)
-        while stack:
-            i, j = stack.pop()
-            part.append((i, j))
-            for a, b in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
-                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and (a, b) not in label:
-                    label[a, b] = len(out)
-                    stack.append((a, b))
-        out.append(part)
-    return out
-
-
-def test_parts_and_holes_equal_flood_fill(spark):
-    mask = grid(2, p=0.55)
-    got = K.parts(as_cells(spark, mask), ["k"]).groupBy("part").count().toPandas()["count"]
-    assert sorted(got) == sorted(len(p) for p in components_of(mask))
-    full = mask.copy()
-    xs, ys = np.nonzero(mask)
-    box = ~mask[xs.min() : xs.max() + 1, ys.min() : ys.max() + 1]
-    small = 0
-    for part in components_of(box):
-        open_ = any(i in (0, box.shape[0] - 1) or j in (0, box.shape[1] - 1) for i, j in part)
-        if not open_ and len(part) <= 3:
-            small += len(part)
-    assert K.fill_holes(as_cells(spark, full), ["k"], 1.0, 3.0).count() == mask.sum() + small
-
-
-def test_opening_equals_brute_force(spark):
-    mask = grid(4, p=0.85)
-    n = mask.shape[0]
-    keep = np.zeros_like(mask)
-    for i in range(1, n - 1):
-        for j in range(1, n - 1):
-            if mask[i - 1 : i + 2, j - 1 : j + 2].all():
-                keep[i - 1 : i + 2, j - 1 : j + 2] = True
-    got = {(r.cx, r.cy) for r in K.opening(as_cells(spark, mask), ["k"], 1).collect()}
-    assert got == set(zip(*(a.tolist() for a in np.nonzero(keep & mask))))
-
-
 def cloud(seed, n, spread=40_000):
     rng = np.random.default_rng(seed)
     xy = rng.random((n, 2)) * spread
@@ -183,3 +116,25 @@ def test_projection_reference_point(spark):
     assert abs(r.e - 651409.903) < 0.01 and abs(r.n - 313177.270) < 0.01
     back = G.grid_to_airy(spark.createDataFrame([(651409.903, 313177.270)], "e double, n double"), "e", "n").first()
     assert abs(back.lat - (52 + 39 / 60 + 27.2531 / 3600)) < 1e-7
+
+
+def test_full_cells_are_split_by_their_count(spark):
+    """Half of all points on one spot: no part holds much more than its share, and the joins stay what they were."""
+    rng = np.random.default_rng(9)
+    xy = rng.random((2000, 2)) * 30_000
+    xy[:1000] = 15_000.0
+    b = spark.createDataFrame(pd.DataFrame({"id": range(2000), "x": xy[:, 0], "y": xy[:, 1]}))
+    a = spark.createDataFrame(pd.DataFrame({"sid": range(40), "sx": xy[980:1020, 0] + 7.0, "sy": xy[980:1020, 1]}))
+    plain = {tuple(r) for r in S.within_distance(a, b, 900.0).select("sid", "id").collect()}
+    inside = S.catchment_totals(a, "sid", b, [900], {"n": F.lit(1)}).orderBy("sid").collect()
+    near = S.nearest(a, "sid", b, "id", 4000.0, 3).orderBy("sid", "nn_rank").collect()
+    spark.conf.set(S.LEAF_CONF, "25")
+    try:
+        rows, probe = S.split_full(b.withColumn("cx", F.floor(F.col("x") / 900)), a.withColumn("cx", F.floor(F.col("sx") / 900)), ["cx"], ["id"])
+        sizes = [r[0] for r in rows.groupBy("cx", "_part").count().select("count").collect()]
+        assert max(sizes) <= 2 * 25 and probe.groupBy("sid").count().agg(F.max("count")).first()[0] >= 40
+        assert {tuple(r) for r in S.within_distance(a, b, 900.0).select("sid", "id").collect()} == plain
+        assert S.catchment_totals(a, "sid", b, [900], {"n": F.lit(1)}).orderBy("sid").collect() == inside
+        assert S.nearest(a, "sid", b, "id", 4000.0, 3).orderBy("sid", "nn_rank").collect() == near
+    finally:
+        spark.conf.unset(S.LEAF_CONF)
