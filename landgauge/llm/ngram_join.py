@@ -29,7 +29,7 @@ NO_ID = -(1 << 63)  # stands for a null id inside the joins
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """id, node (hash of the word sequence, null without words), weight (n-grams), keys (a long per band)."""
+    """id, text_key, node (hash of the word sequence, null without words), weight (n-grams), keys (a long per band)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,15 +44,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(begin, end - begin),
+                        batch.column(2).slice(begin, end - begin),
                         pa.array(words.sequence_hash().view(np.int64), mask=~some),
                         pa.array(sizes),
                         list_array(keys.ravel(), ends),
                     ],
-                    names=["id", "node", "weight", "keys"],
+                    names=["id", "text_key", "node", "weight", "keys"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        sign, "id long, node long, weight long, keys array<long>"
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(
+        sign, "id long, text_key long, node long, weight long, keys array<long>"
     )
 
 
@@ -128,16 +130,21 @@ def jaccard_join(
     rows_in = cut(signatures(docs, id_col, text_col, n, bands, rows))
     classes = cut(
         rows_in.filter("node is not null").groupBy("node").agg(
-            F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("weight").alias("weight"), F.first("keys").alias("keys")
+            F.min("id").alias("rep"), F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text_key")).alias("row"),
+            F.count(F.lit(1)).alias("size"), F.first("weight").alias("weight"), F.first("keys").alias("keys"),
         )
     )
     candidate = components(minhash.star_edges(classes.select("node", F.explode("keys").alias("bucket")), cut), cut)
     grouped = candidate.select("node", F.col("root").alias("grp")).unionByName(candidate.select(F.col("root").alias("node"), F.col("root").alias("grp")).distinct())
-    members = cut(grouped.join(classes.select("node", "rep", "size", "weight"), "node"))
-    wanted = minhash.dealt_blocks(members, cut).select(F.coalesce("rep", F.lit(NO_ID)).alias("_id"), "grp", "b", "blocks", "node", "size")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    members = cut(grouped.join(classes.select("node", "row", "size", "weight"), "node"))
+    # one row stands for its class; null ids are many, so the text's hash is part of the key
+    wanted = minhash.dealt_blocks(members, cut).select("row.id", "row.text_key", "grp", "b", "blocks", "node", "size")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    # equal texts without an id would all stand for their class
+    texts = texts.filter(F.col("id") != NO_ID).unionByName(texts.filter(F.col("id") == NO_ID).dropDuplicates(["text_key"]))
     # how many candidates there are follows the corpus, so the join is by shuffle at every size
-    judged = cut(verify(sets_of(texts.join(wanted.hint("merge"), "_id"), n), threshold))
+    judged = cut(verify(sets_of(texts.join(wanted.hint("merge"), ["id", "text_key"]), n), threshold))
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(judged.select(F.col("node").alias("u"), F.col("root").alias("v")), cut)
     named = classes.select("node", "rep", "size").join(links, "node", "left").join(joined, "node", "left")
@@ -154,19 +161,18 @@ def jaccard_join(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` less near copies: of each class the row of the smallest id stays.
+    """The rows of `docs`, whatever its columns are called, less near copies: of each class the row of the smallest id stays.
 
     Rows without a word and rows with a null id all stay. Of repeated rows of
     the id that stays, the row of the smallest text stays. An id names one
-    document: all rows of an id that goes, go.
+    document: all rows of an id that goes, go. An empty table stays empty.
     """
-    classes = jaccard_join(docs, id_col, text_col).filter(F.col("class_size") > 1)
-    gone = classes.filter(F.col(id_col) > F.col("class_id"))
-    twice = classes.filter(F.col(id_col) == F.col("class_id")).groupBy(id_col).count().filter("count > 1")
-    left = docs.join(cut(gone.select(id_col).distinct()), id_col, "left_anti")
-    keep = cut(twice.select(F.col(id_col).alias("_twice")))
-    marked = left.join(keep, F.col(id_col) == F.col("_twice"), "left")
-    single = marked.filter("_twice is null").select(*docs.columns)
-    again = marked.filter("_twice is not null")
-    best = again.groupBy("_twice").agg(F.min(F.struct(F.col(text_col).alias("_t"), F.struct(*docs.columns).alias("_row"))).alias("_b"))
-    return single.unionByName(best.select("_b._row.*"))
+    classes = jaccard_join(docs.select(id_col, text_col), id_col, text_col).filter(F.col("class_size") > 1)
+    gone = classes.filter(F.col(id_col) > F.col("class_id")).select(F.col(id_col).alias("id"), F.lit(0).alias("stay"))
+    twice = classes.filter(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("id")).count().filter("count > 1").select("id", F.lit(1).alias("stay"))
+    fate = cut(gone.unionByName(twice).groupBy("id").agg(F.min("stay").alias("stay")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    left = rows.join(fate, "id", "left").filter("stay is null or stay = 1")
+    single = left.filter("stay is null").select("row.*")
+    best = left.filter("stay = 1").groupBy("id").agg(F.min(F.struct("text", "row")).alias("best"))
+    return single.unionByName(best.select("best.row.*"))

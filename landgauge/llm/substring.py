@@ -236,23 +236,23 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with the removed stretches of repeats() taken out of text; columns stay as they are.
+    """`docs`, whatever its columns are called, with the removed stretches of repeats() taken out of text.
 
     Every row stays, with the text that is left (which may be empty) and, where
-    there is one, an n_chars that fits it.
+    there is one, an n_chars that fits it. Rows with a null id or text stay as
+    they are; repeated rows lose the same words; an empty table stays empty.
     """
-    gone = cut(repeats(docs).filter("removed").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans")))
-    marked = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left")
+    gone = repeats(docs.select("doc_id", "text")).filter("removed")
+    gone = cut(gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     @F.pandas_udf("string")
     def strip(texts, spans):  # pandas Series in and out
-        out = texts.copy()
-        for i, (t, s) in enumerate(zip(texts, spans)):
-            if s is not None and t is not None:
-                out.iloc[i] = without(t, [(x["first_word"], x["n_words"]) for x in s])
-        return out
+        kept = [t if s is None or t is None else without(t, [(x["first_word"], x["n_words"]) for x in s]) for t, s in zip(texts, spans)]
+        return type(texts)(kept, index=texts.index, dtype=object)
 
-    left = marked.withColumn("text", strip(F.col("text").cast("string"), F.col("_spans")))
+    left = rows.join(gone, "id", "left").select("row", F.col("spans").isNotNull().alias("changed"), strip(F.col("text"), F.col("spans")).alias("text"))
+    changed = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

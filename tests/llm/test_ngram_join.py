@@ -91,3 +91,11 @@ def test_components_of_chains_and_stars(spark):
     got = components(spark.createDataFrame(edges, "u long, v long"), cut).collect()
     roots = {r.node: r.root for r in got}
     assert roots == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 50)}
+
+
+def test_null_ids_are_linked_by_their_texts(spark):
+    """Many near copies without an id: each class is read once, and no row meets all others."""
+    base = [f"word{i}" for i in range(60)]
+    rows = [(None, " ".join([*base[:-1], f"end{i % 40}"])) for i in range(200)] + [(7, " ".join(base))]
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_size, r.n_links, r.class_id) for r in got} == {(201, 200, 7)}

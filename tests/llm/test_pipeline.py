@@ -79,14 +79,24 @@ def test_run_gives_the_last_stage(spark, stages):
 
 def test_every_operator_has_a_query(spark):
     numbers = {int(n.split("_")[0][2:]) for n in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
 def test_stages_take_odd_tables(spark, odd_docs, empty_docs, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    for docs in (odd_docs, empty_docs, odd_docs.withColumn("node", F.lit(1))):
+    clash = ["id", "key", "row", "spans", "stay", "best", "rate", "copies", "changed", "node", "text_key", "_twice", "_rate", "_key", "_doc", "_spans"]
+    wide = odd_docs.withColumns({name: F.lit(name) for name in clash})
+    for docs in (odd_docs, empty_docs, wide):
         for _, stage in corpus_pipeline.STAGES:
             docs = cut_lineage(stage(spark, docs, folder))
         assert docs.columns[:2] == ["doc_id", "piece"]
+
+
+def test_toxic_rows_go_by_their_own_text(spark):
+    rows = [(i, "you stupid idiot fool " * 6 if i % 2 else f"the river runs to the sea {i} " * 6) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(None, rows[1][1]), (None, rows[2][1]), (2, rows[1][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    kept = sorted(toxicity.drop_toxic(docs, labels).collect(), key=repr)
+    assert kept == sorted((r for r in docs.collect() if "river" in r.text), key=repr)
