@@ -57,13 +57,13 @@ def a04(t):
 
 @query(
     "a07_area_medians",
-    """with s as (select l_suppkey, s_nationkey, case when l_partkey%5>0 then l_extendedprice end as p, l_extendedprice from lineitem join supplier on s_suppkey=l_suppkey where l_suppkey%11>0 or l_partkey%2=0),
+    """with s as (select l_suppkey, s_nationkey, case when l_partkey%5>0 and (l_suppkey%11>0 or l_partkey%2=0) then l_extendedprice end as p from lineitem join supplier on s_suppkey=l_suppkey),
  a as (select l_suppkey, any_value(s_nationkey) as nk, count(p) as n, quantile_cont(p,0.5) as med from s group by 1), l as (select s_nationkey as nk, quantile_cont(p,0.5) as lm from s group by 1)
  select l_suppkey, n, round(case when n>=400 then med else lm end,4) as median_price, round(case when n>=400 then med else lm end/94,4) as derived_ppm2, case when n>=400 then 'small_area' else 'district' end as source from a join l using (nk)""",
 )
 def a07(t):
-    li = t.lineitem.filter((F.col("l_suppkey") % 11 > 0) | (F.col("l_partkey") % 2 == 0))
-    s = li.join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").withColumn("p", F.when(F.col("l_partkey") % 5 > 0, F.col("l_extendedprice")))
+    known = (F.col("l_partkey") % 5 > 0) & ((F.col("l_suppkey") % 11 > 0) | (F.col("l_partkey") % 2 == 0))
+    s = t.lineitem.join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").withColumn("p", F.when(known, F.col("l_extendedprice")))
     small = medians(s, ["l_suppkey", "s_nationkey"], {"p": F.col("p")})
     wide = medians(s, ["s_nationkey"], {"d": F.col("p")}).select("s_nationkey", "d_med")
     best = F.when(F.col("p_n") >= 400, F.col("p_med")).otherwise(F.col("d_med"))
@@ -385,23 +385,6 @@ def a37(t):
     return share.join(size, "site_id").filter(pct >= 0.5).select("site_id", "kind", F.round(pct, 4).alias("pct")).join(count, ["site_id", "kind"])
 
 
-@query(
-    "a38_point_summary",
-    SA.rstrip() + "," + B.AREAS_SQL + "," + B.SITES_SQL
-    + f""" select a.id, ar.area_id, (select count(*) from sites where x>=minx and x<maxx and y>=miny and y<maxy) as n_sites, n.sid as nearest_station, cast(round(n.d) as bigint) as dist_m
- from amenities a join areas ar on x>=ar.minx and x<ar.maxx and y>=ar.miny and y<ar.maxy left join (select id, sid, {D} as d from amenities, stations where {D}<=30000 qualify row_number() over (partition by id order by {D}, sid)=1) n on n.id=a.id""",
-)
-def a38(t):
-    """For every point: containing area, constraints on it, and the nearest asset."""
-    am = B.amenities(t)
-    area = S.points_in_polygons(am, "id", rings(B.areas(t), "area_id"), "area_id", BIG)
-    on = S.points_in_polygons(am, "id", rings(B.sites(t), "site_id"), "site_id", 250.0).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
-    near = S.nearest(am, "id", B.stations(t), "sid", 30000.0, 1, ("x", "y"), ("sx", "sy"))
-    return area.join(on, "id", "left").join(near, "id", "left").select(
-        "id", "area_id", F.coalesce("k", F.lit(0)).alias("n_sites"), F.col("sid").alias("nearest_station"), F.round("dist").cast("bigint").alias("dist_m")
-    )
-
-
 @query(
     "a39_study_tables",
     """with v as (select p_type as typology, p_brand as tier, p_size*200 as cap, p_retailprice as cost, 1800+cast(p_partkey%220 as int) as yr from part where p_size*200>=1000)

@@ -242,19 +242,17 @@ def c14(t):
 
 @query(
     "c15_plan_status",
-    """with p as (select o_custkey as authority, o_orderkey as plan, year(o_orderdate) as y from orders where o_orderkey%6=0),
- n as (select authority, count(*) as n_plans, min(y) as y from p group by 1)
- select c_custkey as authority, coalesce(n_plans,0) as n_plans, case when n_plans is null then null when n_plans>1 then 'multiple_plans' when c_custkey%9=0 then 'joint_plan'
-  when c_custkey%4=0 and y<1998 then 'predecessor_plan' else 'compared' end as plan_status from customer left join n on authority=c_custkey""",
+    """with p as (select case when o_orderkey%6=0 then o_custkey else o_custkey+1000000+o_orderkey%5 end as authority, year(o_orderdate) as y from orders),
+ n as (select authority, count(*) as n_plans, min(y) as y from p group by 1), a as (select c_custkey as authority from customer union select authority from n)
+ select authority, coalesce(n_plans,0) as n_plans, case when n_plans is null then null when n_plans>1 then 'multiple_plans' when authority%9=0 then 'joint_plan'
+  when authority%4=0 and y<1998 then 'predecessor_plan' else 'compared' end as plan_status from a left join n using (authority)""",
 )
 def c15(t):
-    plans = (
-        t.orders.filter(F.col("o_orderkey") % 6 == 0)
-        .groupBy(F.col("o_custkey").alias("authority"))
-        .agg(F.count(F.lit(1)).alias("n_plans"), F.min(F.year("o_orderdate")).alias("y"))
-    )
+    """All orders are plans: one in six of the customer as authority, the others of authorities that share few plans."""
+    authority = F.when(F.col("o_orderkey") % 6 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1_000_000 + F.col("o_orderkey") % 5)
+    plans = t.orders.groupBy(authority.alias("authority")).agg(F.count(F.lit(1)).alias("n_plans"), F.min(F.year("o_orderdate")).alias("y"))
     k = F.col("authority")
-    joined = t.customer.select(F.col("c_custkey").alias("authority")).join(plans, "authority", "left")
+    joined = t.customer.select(F.col("c_custkey").alias("authority")).join(plans, "authority", "full")
     return joined.select(
         "authority", F.coalesce("n_plans", F.lit(0)).alias("n_plans"),
         C.plan_status(F.col("n_plans"), F.when(k % 9 == 0, 2).otherwise(1), F.col("y"), F.when(k % 4 == 0, 1998)).alias("plan_status"),

@@ -324,8 +324,8 @@ def n22(t):
 
 @query(
     "n23_period_score",
-    """with r as (select o_orderkey, year(o_orderdate)+10 as y, quarter(o_orderdate) as q, month(o_orderdate) as m, cast(o_orderkey%6 as int) as k from orders)
- select o_orderkey, round(case k when 0 then y+q*0.25-0.1 when 1 then y+0.45 when 2 then y+0.9 when 3 then y+m/12.0 when 4 then 0 else y end,6) as score from r""",
+    """with r as (select o_orderkey, year(o_orderdate)+10 as y, quarter(o_orderdate) as q, month(o_orderdate) as m, cast(o_orderkey%7 as int) as k from orders)
+ select o_orderkey, round(case k when 0 then y+q*0.25-0.1 when 1 then y+0.45 when 2 then y+0.9 when 3 then y+m/12.0 when 4 then 0 when 5 then y else y+q*0.25-0.1 end,6) as score from r""",
 )
 def n23(t):
     y = (F.year("o_orderdate") + 10).cast("string")
@@ -337,8 +337,9 @@ def n23(t):
             F.concat(F.date_format("o_orderdate", "MMM"), F.lit(" "), y),
             F.concat(F.lit("Forecast "), y),
             y,
+            F.concat(F.lit("H2, Q"), F.quarter("o_orderdate").cast("string"), F.lit(" "), y, F.lit(" / Q1 2029 to end of May")),
         ),
-        (F.col("o_orderkey") % 6 + 1).cast("int"),
+        (F.col("o_orderkey") % 7 + 1).cast("int"),
     )
     # decades before 2000 carry no 20xx year; the derived years are all 2000s
     return t.orders.select("o_orderkey", F.round(N.period_score(text), 6).alias("score"))

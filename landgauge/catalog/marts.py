@@ -489,13 +489,19 @@ def m29(t):
     return LY.planning_layer(areas, rents, rates, t.customer.select(code, (F.abs("c_acctbal") * 20).alias("stock")), t.customer.select(code, (3 + k % 10).alias("ratio")))
 
 
-@query("m30_energy_layer")
+@query(
+    "m30_energy_layer",
+    B.ctes(B.AREAS_SQL)
+    + """, q as (select cast((b*7919)%100000 as double) as x, cast((b*104729)%100000 as double) as y, p_size from (select (p_partkey//50)*50 as b, p_size from part))
+ select area_id, sum(p_size)::bigint as mw, count(*) as n from q join areas on x>=minx and x<maxx and y>=miny and y<maxy group by 1""",
+)
 def m30(t):
-    """Queue rows placed on substations by name and summed per area (parts have their own oracles)."""
+    """Every part waits in the queue of the substation that its site text names; megawatts per area."""
     k = F.col("p_partkey")
-    subs = B.points(t.part.filter("p_partkey % 50 = 0"), "p_partkey", F.concat_ws(" ", pick("p_partkey", PLACES), F.col("p_partkey").cast("string")).alias("name"), F.lit("132000;33000").alias("volts")).withColumnRenamed("id", "sub_id")
-    base = F.floor(k / 50) * 50
-    queue = t.part.withColumn("base", base).select(k.alias("q_id"), F.concat_ws(" ", pick("base", PLACES), base.cast("string"), F.lit("400kV substation")).alias("site"), F.col("p_size").alias("mw"))
+    base = (F.floor(k / 50) * 50).alias("p_partkey")
+    sites = t.part.select(base).distinct()
+    subs = B.points(sites, "p_partkey", F.concat_ws(" ", pick("p_partkey", PLACES), F.col("p_partkey").cast("string")).alias("name"), F.lit("132000;33000").alias("volts")).withColumnRenamed("id", "sub_id")
+    queue = t.part.withColumn("base", F.floor(k / 50) * 50).select(k.alias("q_id"), F.concat_ws(" ", pick("base", PLACES), F.col("base").cast("string"), F.lit("400kV substation")).alias("site"), F.col("p_size").cast("long").alias("mw"))
     return LY.energy_layer(cut_lineage(subs), queue, rings(B.areas(t), "area_id"), BIG)[1]
 
 

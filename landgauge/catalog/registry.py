@@ -58,6 +58,7 @@ MODULES = (
     "sources",
     "graphs",
     "marts",
+    "profiles",
 )
 
 

@@ -71,13 +71,16 @@ def s05(t):
 
 @query("s06_read_ascii_grid", "select cast(o_orderkey//100 as bigint) as tile, count(*) as n, round(sum(o_totalprice),2) as z from orders where o_orderkey%100<>7 group by 1")
 def s06(t):
-    """Orders as 10 x 10 elevation tiles (one text file each, one no-data cell)."""
+    """Orders as 10 x 10 elevation tiles (one text file each; a no-data cell in each, and where there is no order)."""
     path = scratch_path(t.spark, "ascii")
     k = F.col("o_orderkey")
     z = F.when(k % 100 == 7, "-9999").otherwise(F.col("o_totalprice").cast("string"))
-    cells = t.orders.withColumn("tile", F.floor(k / 100)).withColumn("row", F.floor(k % 100 / 10)).withColumn("z", z)
-    rows = cells.groupBy("tile", "row").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "z"))), lambda s: s.z)).alias("line"), F.count(F.lit(1)).alias("n"))
-    tiles = rows.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("row", "line"))).alias("body"), F.sum("n").alias("n")).filter("n = 100")
+    known = t.orders.groupBy(k.alias("cell")).agg(F.max(z).alias("z"))
+    # cells that no order has are padded with the no-data value
+    board = t.orders.select(F.floor(k / 100).alias("tile")).distinct().withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.col("tile") * 100 + i)))
+    cells = board.join(known, "cell", "left").select("tile", "cell", F.floor(F.col("cell") % 100 / 10).alias("row"), F.coalesce("z", F.lit("-9999")).alias("z"))
+    rows = cells.groupBy("tile", "row").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("cell", "z"))), lambda s: s.z)).alias("line"))
+    tiles = rows.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("row", "line"))).alias("body"))
     head = F.concat(F.lit("ncols 10\nnrows 10\nxllcorner "), (F.col("tile") * 1000).cast("string"), F.lit("\nyllcorner 0\ncellsize 100\nNODATA_value -9999\n"))
     doc = F.concat(head, F.array_join(F.transform("body", lambda s: s.line), "\n"), F.lit("\n"))
     # one tile per file

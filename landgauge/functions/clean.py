@@ -330,19 +330,23 @@ def tidy_text(col: Column, n: int | None = None, title: bool = False) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-# How far into its year a period mark lies, in order of precedence.
+# How far into its year a period mark lies, in order of precedence; quarters come before them all.
 PERIOD_MARKS = {
-    "q1": 0.15, "q2": 0.4, "q3": 0.65, "q4": 0.9, "h1": 0.45, "h2": 0.9, "end": 0.9,
+    "h1": 0.45, "h2": 0.9, "end": 0.9,
     **{month: (i + 1) / 12 for i, month in enumerate(MONTHS)},
 }
 
 
 def period_score(col: Column) -> Column:
-    """Rough decimal year of a free-text period; forecasts score 0, no year means 2000."""
+    """Rough decimal year of a free-text period; forecasts score 0, no year means 2000.
+
+    The first year and the first quarter of the text count ("Q4 2024 / Q1 2025" is late 2024).
+    """
     text = F.coalesce(F.lower(col), F.lit(""))
     year = F.coalesce(F.regexp_extract(text, r"20\d\d", 0).try_cast("double"), F.lit(2000.0))
+    quarter = F.regexp_extract(text, "q([1-4])", 1).try_cast("double") * 0.25 - 0.1
     shares = F.create_map(*[F.lit(x) for mark, share in PERIOD_MARKS.items() for x in (mark, share)])
     # the first mark of the table that the text has
     found = F.filter(F.array(*[F.lit(mark) for mark in PERIOD_MARKS]), lambda mark: F.contains(text, mark))
-    within = F.coalesce(shares[F.get(found, F.lit(0))], F.lit(0.0))
+    within = F.coalesce(quarter, shares[F.get(found, F.lit(0))], F.lit(0.0))
     return F.when(F.contains(text, F.lit("forecast")), F.lit(0.0)).otherwise(year + within)

@@ -89,13 +89,15 @@ def catchment_totals(
     o_xy: tuple[str, str] = ("sx", "sy"),
     p_xy: tuple[str, str] = ("x", "y"),
     split: int = 6,
+    wanted: Sequence[tuple[str, float]] | None = None,
 ) -> DataFrame:
-    """Sums of additive measures within several radii of each origin.
+    """Sums of additive measures within several radii of each origin; of all radii each, or as `wanted` (measure, radius) says.
 
     Cells wholly inside (or outside) every ring use per-cell sums made before
     the join; only cells cut by a circle are joined point by point, and those
     points are first summed per distinct location.
     """
+    wanted = list(wanted or [(n, r) for r in radii for n in measures])
     r_max = max(radii)
     cell = r_max / split
     spots = points.groupBy(F.col(p_xy[0]).alias("_px"), F.col(p_xy[1]).alias("_py")).agg(
@@ -124,25 +126,26 @@ def catchment_totals(
     probe = probe.withColumn("_cut", cut)
 
     def sums(reach: Column) -> list[Column]:
-        return [F.sum(F.when(reach <= r, F.col(n))).alias(f"{n}_{radius_name(r)}") for r in radii for n in measures]
+        return [F.sum(F.when(reach <= r, F.col(n))).alias(f"{n}_{radius_name(r)}") for n, r in wanted]
 
     cells = spots.groupBy("_cx", "_cy").agg(*[F.sum(n).alias(n) for n in measures])
     whole = probe.filter(~F.col("_cut")).join(cells, ["_cx", "_cy"]).groupBy(key).agg(*sums(F.col("_far")))
     dots, asked = split_full(spots, probe.filter("_cut"), ["_cx", "_cy"], ["_px", "_py"])
     ring = asked.join(dots, ["_cx", "_cy", "_part"])
     edge = ring.withColumn("_d", F.hypot(F.col("_px") - F.col("_ox"), F.col("_py") - F.col("_oy"))).groupBy(key).agg(*sums(F.col("_d")))
-    names = [f"{n}_{radius_name(r)}" for r in radii for n in measures]
+    names = [f"{n}_{radius_name(r)}" for n, r in wanted]
     both = whole.unionByName(edge).groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
     return origins.join(both, key, "left").select(*origins.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
-def _levels(sites: DataFrame, max_m: float, k: int) -> int:
+def _levels(sites: DataFrame, max_m: float, k: int, layer: str | None = None) -> int:
     """How many levels it takes until no cell holds more than a few times k sites (3 to MOST_LEVELS)."""
     finest = max_m / 2 ** (MOST_LEVELS - 1)
-    cells = sites.groupBy(F.floor(F.col("_bx") / finest).alias("x"), F.floor(F.col("_by") / finest).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    other = [c for c in sites.columns if c == layer]
+    cells = sites.groupBy(*other, F.floor(F.col("_bx") / finest).alias("x"), F.floor(F.col("_by") / finest).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     halved = F.array(*[F.lit(i) for i in range(MOST_LEVELS)])
     up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2), F.col("l")))
-    coarse = cells.withColumn("l", F.explode(halved)).groupBy("l", up("x").alias("x"), up("y").alias("y")).agg(F.sum("n").alias("n"))
+    coarse = cells.withColumn("l", F.explode(halved)).groupBy(*other, "l", up("x").alias("x"), up("y").alias("y")).agg(F.sum("n").alias("n"))
     fullest = {r.l: r.n for r in coarse.groupBy("l").agg(F.max("n").alias("n")).collect()}  # MOST_LEVELS rows
     fit = [l for l in range(MOST_LEVELS) if fullest.get(l, 0) <= FULL_AT_FINEST + 4 * k]
     return max(3, MOST_LEVELS - max(fit, default=0))
@@ -159,9 +162,13 @@ def nearest(
     b_xy: tuple[str, str] = ("x", "y"),
     levels: int | None = None,
     cols: Sequence[str] = (),
+    layer: str | None = None,
+    layers: Sequence[str] = (),
 ) -> DataFrame:
     """a_key, b_key, dist, nn_rank for the k nearest b no more than max_m away.
 
+    With `layer`, a column of b, the k nearest of each of `layers` in one pass.
+
     Cells double in size per level. Counting b per cell and level tells, for
     each occupied a-cell, the first level whose 3 x 3 block holds k points;
     their distance bounds the search, so sparse areas look far and dense areas
@@ -170,9 +177,10 @@ def nearest(
     points.
     """
     bx, by = F.col("_bx"), F.col("_by")
-    sites = b.select(F.col(b_key), F.col(b_xy[0]).alias("_bx"), F.col(b_xy[1]).alias("_by"), *cols)
-    sites = first_per(sites, ["_bx", "_by"], [F.col(b_key)], k)
-    levels = levels or _levels(sites, max_m, k)
+    per = [layer] if layer else []
+    sites = b.select(F.col(b_key), F.col(b_xy[0]).alias("_bx"), F.col(b_xy[1]).alias("_by"), *per, *cols)
+    sites = first_per(sites, [*per, "_bx", "_by"], [F.col(b_key)], k)
+    levels = levels or _levels(sites, max_m, k, layer)
     base = max_m / 2 ** (levels - 1)
     level = F.array(*[F.lit(i) for i in range(levels + 2)])
 
@@ -180,52 +188,54 @@ def nearest(
         return F.floor(F.floor(v / base) / F.pow(F.lit(2), lv)).cast("int")
 
     counted = (
-        sites.groupBy(F.floor(bx / base).alias("_fx"), F.floor(by / base).alias("_fy"))
+        sites.groupBy(*per, F.floor(bx / base).alias("_fx"), F.floor(by / base).alias("_fy"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_l", F.explode(F.array(*[F.lit(i) for i in range(levels)])))
-        .groupBy("_l", *[F.floor(F.col(c) / F.pow(F.lit(2), F.col("_l"))).cast("int").alias(n) for c, n in (("_fx", "_gx"), ("_fy", "_gy"))])
+        .groupBy(*per, "_l", *[F.floor(F.col(c) / F.pow(F.lit(2), F.col("_l"))).cast("int").alias(n) for c, n in (("_fx", "_gx"), ("_fy", "_gy"))])
         .agg(F.sum("_n").alias("_n"))
     )
     ax, ay = F.col(a_xy[0]), F.col(a_xy[1])
     seeds = a.select(a_key, ax.alias("_ax"), ay.alias("_ay")).withColumn("_hx", F.floor(F.col("_ax") / base)).withColumn("_hy", F.floor(F.col("_ay") / base))
+    if layer:
+        seeds = seeds.withColumn(layer, F.explode(F.array(*map(F.lit, layers))))
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     homes = (
-        seeds.select("_hx", "_hy").distinct()
+        seeds.select(*per, "_hx", "_hy").distinct()
         .withColumn("_l", F.explode(F.array(*[F.lit(i) for i in range(levels)])))
         .withColumn("_s", F.explode(shifts))
         .withColumn("_gx", F.floor(F.col("_hx") / F.pow(F.lit(2), F.col("_l"))).cast("int") + F.col("_s.i"))
         .withColumn("_gy", F.floor(F.col("_hy") / F.pow(F.lit(2), F.col("_l"))).cast("int") + F.col("_s.j"))
-        .join(counted, ["_l", "_gx", "_gy"])
-        .groupBy("_hx", "_hy", "_l").agg(F.sum("_n").alias("_n"))
+        .join(counted, [*per, "_l", "_gx", "_gy"])
+        .groupBy(*per, "_hx", "_hy", "_l").agg(F.sum("_n").alias("_n"))
         .filter(F.col("_n") >= k)
-        .groupBy("_hx", "_hy").agg(F.min("_l").alias("_first"))
+        .groupBy(*per, "_hx", "_hy").agg(F.min("_l").alias("_first"))
     )
     # k points lie within the 3 x 3 block, so no farther than its diagonal reach
     first = F.coalesce("_first", F.lit(levels))
     bound = F.least(F.lit(float(max_m)), F.lit(2 * math.sqrt(2) * base) * F.pow(F.lit(2), first))
     probe_level = F.least(first + 2, F.lit(levels - 1))
     probes = (
-        seeds.join(homes, ["_hx", "_hy"], "left")
+        seeds.join(homes, [*per, "_hx", "_hy"], "left")
         .withColumn("_r", bound)
         .withColumn("_l", probe_level)
         .withColumn("_s", F.explode(shifts))
         .withColumn("_gx", at_level(F.col("_ax"), F.col("_l")) + F.col("_s.i"))
         .withColumn("_gy", at_level(F.col("_ay"), F.col("_l")) + F.col("_s.j"))
-        .select(a_key, "_ax", "_ay", "_r", "_l", "_gx", "_gy")
+        .select(a_key, *per, "_ax", "_ay", "_r", "_l", "_gx", "_gy")
     )
     placed = (
         sites.withColumn("_l", F.explode(F.slice(level, 1, levels)))
         .withColumn("_gx", at_level(bx, F.col("_l")))
         .withColumn("_gy", at_level(by, F.col("_l")))
     )
-    placed, probes = split_full(placed, probes, ["_l", "_gx", "_gy"], ["_bx", "_by", b_key])
+    placed, probes = split_full(placed, probes, [*per, "_l", "_gx", "_gy"], ["_bx", "_by", b_key])
     pairs = (
-        probes.join(placed, ["_l", "_gx", "_gy", "_part"])
+        probes.join(placed, [*per, "_l", "_gx", "_gy", "_part"])
         .withColumn("dist", F.hypot(F.col("_ax") - bx, F.col("_ay") - by))
         .filter(F.col("dist") <= F.col("_r"))
-        .select(a_key, b_key, "dist", *cols)
+        .select(a_key, *per, b_key, "dist", *cols)
     )
-    return first_per(pairs, [a_key], [F.col("dist"), F.col(b_key)], k, "nn_rank")
+    return first_per(pairs, [a_key, *per], [F.col("dist"), F.col(b_key)], k, "nn_rank")
 
 
 def distance_units(dist: Column, cap: int = 255) -> Column:

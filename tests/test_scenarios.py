@@ -47,18 +47,21 @@ def test_low_value_cases(spark):
     assert [(r.label, r.got) for r in got] == [(r.label, r.want) for r in got]
 
 
-def test_parcel_pairing_scenario(spark):
-    """Contains beats nearest, one rescue, nothing over 5 ha, flat-only points skipped."""
-    side = 66.0
-    squares = [(f"P{i}", i * side, 0.0, side) for i in range(6)] + [
-        ("LONE_PLOT", 1000.0, 0.0, side), ("FAR_PLOT", 1100.0, 0.0, side), ("FIELD", 3000.0, 0.0, 332.0), ("TOWER", 5000.0, 0.0, side)]
-    p = spark.createDataFrame(squares, "parcel_id string, minx double, miny double, side double")
-    x1, y1 = F.col("minx") + F.col("side"), F.col("miny") + F.col("side")
-    parcels = p.select("parcel_id", G.rect_rings(F.col("minx"), F.col("miny"), x1, y1).alias("rings"), (F.col("side") ** 2).alias("area"), F.col("minx").alias("px"), F.col("miny").alias("py"))
-    owners = [("a", 2.5 * side, 30.0, 3, True), ("b", 985.0, 0.0, 1, True), ("c", 2985.0, 0.0, 1, True), ("d", 5010.0, 10.0, 0, False)]
-    pts = spark.createDataFrame(owners, "id string, x double, y double, titles_land int, has_land boolean")
-    got = {r.parcel_id: (r.id, r.match, r.match_dist_m) for r in L.pair_parcels(pts, parcels, 50.0).collect()}
-    assert got == {"P2": ("a", "contains", None), "LONE_PLOT": ("b", "nearest", 15.0)}
+def test_parcels_go_to_owners_inside_them_then_to_the_nearest_left_over(spark):
+    """Triangles on a diagonal: titles decide inside, distance decides outside, size and reach bound the rescue."""
+    def triangle(x, y, w, h):
+        return [[{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x, "y": y + h}, {"x": x, "y": y}]]
+
+    shapes = [("shared", 0.0, 0.0, 80.0, 60.0), ("wanted", 400.0, 400.0, 30.0, 90.0), ("beyond", 800.0, 800.0, 40.0, 40.0), ("estate", 1200.0, 1200.0, 500.0, 240.0), ("idle", 2500.0, 2500.0, 20.0, 20.0)]
+    rows = [(n, triangle(float(x), float(y), w, h), w * h / 2, float(x), float(y)) for n, x, y, w, h in shapes]
+    parcels = spark.createDataFrame(rows, "parcel_id string, rings array<array<struct<x: double, y: double>>>, area double, px double, py double")
+    owners = [
+        ("few", 10.0, 10.0, 1, True), ("most", 20.0, 20.0, 4, True), ("tied", 12.0, 31.0, 4, True), ("leasehold", 5.0, 5.0, 9, False),
+        ("near", 391.0, 388.0, 1, True), ("nearer", 400.0, 391.0, 1, True), ("too far", 800.0, 769.0, 2, True), ("by the estate", 1190.0, 1195.0, 1, True),
+    ]
+    points = spark.createDataFrame(owners, "id string, x double, y double, titles_land int, has_land boolean")
+    got = {(r.parcel_id, r.id, r.match, r.match_dist_m) for r in L.pair_parcels(points, parcels, 75.0).collect()}
+    assert got == {("shared", "most", "contains", None), ("wanted", "nearer", "nearest", 9.0)}
 
 
 def test_rents_scenario(spark):
