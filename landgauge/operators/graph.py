@@ -114,28 +114,32 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def route_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, edge for every edge on the shortest a-b path no longer than `limit`.
-
-    `pairs` a, b, limit. Paths are walked back from b one join per round.
-    """
+    """a, b, edge for every edge on the shortest a-b path no longer than `limit`; `pairs` a, b, limit."""
     starts = pairs.groupBy(F.col("a").alias("origin")).agg(F.max("limit").alias("limit")).withColumn("node", F.col("origin"))
     tree = shortest_paths(edges, starts)
-    at = cut_lineage(
-        pairs.filter("a <> b")
-        .join(tree.select(F.col("origin").alias("a"), F.col("node").alias("b"), "dist", "prev", "edge"), ["a", "b"])
-        .filter(F.col("dist") <= F.col("limit"))
-        .select("a", "b", "prev", "edge")
-    )
-    steps = tree.select(F.col("origin").alias("a"), F.col("node").alias("prev"), F.col("prev").alias("_before"), F.col("edge").alias("_edge"))
-    walked = at.select("a", "b", "edge")
-    while True:
-        at = cut_lineage(
-            at.filter(F.col("prev") != F.col("a")).join(steps, ["a", "prev"]).select("a", "b", F.col("_before").alias("prev"), F.col("_edge").alias("edge"))
-        )
-        if at.isEmpty():
-            break
-        walked = walked.unionByName(at.select("a", "b", "edge"))
-    return walked
+    ends = pairs.filter("a <> b").join(tree.select(F.col("origin").alias("a"), F.col("node").alias("b"), "dist"), ["a", "b"])
+    return paths_back(tree, ends.filter(F.col("dist") <= F.col("limit")).select("a", "b"))
+
+
+def paths_back(tree: DataFrame, ends: DataFrame) -> DataFrame:
+    """a, b, edge: the edges between each end b (a, b) and the origin a of its tree (origin, node, prev, edge).
+
+    Pointers are doubled: a node's ancestors 1, 2, 4, ... steps up are tables, as many as the depth has binary digits,
+    and from the longest steps to the shortest each place that is reached adds the one that many steps on. A path of 700
+    edges takes ten rounds each way.
+    """
+    up = cut_lineage(tree.filter(F.col("prev").isNotNull()).select("origin", "node", "prev"))
+    steps = []
+    while not up.isEmpty():
+        steps.append(up)
+        on = up.select("origin", F.col("node").alias("prev"), F.col("prev").alias("_far"))
+        up = cut_lineage(up.join(on, ["origin", "prev"]).select("origin", "node", F.col("_far").alias("prev")))
+    at = ends.select("a", "b", F.col("b").alias("node"))
+    for step in reversed(steps):
+        far = at.join(step.select(F.col("origin").alias("a"), "node", "prev"), ["a", "node"]).select("a", "b", F.col("prev").alias("node"))
+        at = cut_lineage(at.unionByName(far))
+    used = tree.filter(F.col("prev").isNotNull()).select(F.col("origin").alias("a"), "node", "edge")
+    return at.join(used, ["a", "node"]).select("a", "b", "edge")
 
 
 def assign_load(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -107,3 +107,16 @@ def test_contract_keeps_lengths_and_branches(spark, n):
     edges = spark.createDataFrame(chain, "u long, v long, length double")
     got = {(r.u, r.v): r.length for r in GR.contract(edges, spark.createDataFrame([(8,)], "node long")).collect()}
     assert got == {(0, 5): 5.0, (5, 8): 3.0, (8, 12): 4.0, (5, 101): 5.0}
+
+
+def test_paths_of_hundreds_of_edges_are_walked_back_by_doubling(spark):
+    """A chain of 700 with a branch at 300; each end gets every edge up to the origin once."""
+    rows = [(0, n, n - 1 if n else None, n if n else None) for n in range(701)] + [(0, 1000 + n, 1000 + n - 1 if n else 300, 1000 + n) for n in range(50)]
+    rows += [(5, 5, None, None), (5, 6, 5, 66)]
+    tree = spark.createDataFrame(rows, "origin long, node long, prev long, edge long")
+    ends = spark.createDataFrame([(0, 700), (0, 1), (0, 1049), (5, 6)], "a long, b long")
+    got = {}
+    for r in GR.paths_back(tree, ends).collect():
+        got.setdefault((r.a, r.b), []).append(r.edge)
+    want = {(0, 700): range(1, 701), (0, 1): [1], (0, 1049): [*range(1, 301), *range(1000, 1050)], (5, 6): [66]}
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(v) for k, v in want.items()}
