@@ -16,6 +16,7 @@ from landgauge.functions import geometry as G
 from landgauge.functions.clean import norm_name
 from landgauge.operators import aggregates as A
 from landgauge.operators import gates as GT
+from landgauge.operators import overlay as O
 from landgauge.operators import spatial as S
 from landgauge.plans import land as LP
 from landgauge.plans import layers as LY
@@ -466,13 +467,19 @@ def m27(t):
     return LY.tag_stations(st, rings(B.areas(t), "area_id"), gva, ruc, BIG, 10).select("sid", "area_id", "area_rank", "regime", "well_connected")
 
 
-@query("m28_transport_constraint", "select 'transport' as kind, least(count(*),1) as has_rows, true as grown from part")
+@query(
+    "m28_transport_constraint",
+    """with r as (select p_partkey as line_id, (['Motorway','A Road','B Road','Minor Road'])[cast(p_partkey%4 as int)+1] as cls, p_partkey%9=0 as rail from part),
+ w as (select *, case when rail then 12e0 when cls='Motorway' then 15e0 when cls='A Road' then 9e0 when cls='B Road' then 5e0 else 6e0 end as w from r)
+ select cls, w as half_width, count(*) as n, round(sum(2*w*sqrt(400*400+50*50)+16*w*w*sin(pi()/16)),2) as area_m2 from w group by 1,2""",
+)
 def m28(t):
-    """Road centre lines grown by class; the SQL twin only checks that cells come out."""
+    """Road and rail centre lines grown by class: the exact area of every line, summed per class and width."""
     k = F.col("p_partkey")
     lines = t.part.select(k.alias("line_id"), pick("p_partkey", ["Motorway", "A Road", "B Road", "Minor Road"]).alias("cls"), (k % 9 == 0).alias("is_rail"), (k % 500 * 100.0).alias("x1"), (k % 70 * 300.0).alias("y1"), (k % 500 * 100.0 + 400).alias("x2"), (k % 70 * 300.0 + 50).alias("y2"))
-    out = LY.transport_constraint(lines, 10.0)
-    return out.groupBy("kind").agg(F.least(F.count(F.lit(1)), F.lit(1)).alias("has_rows"), (F.count(F.lit(1)) > 100).alias("grown"))
+    keys = ["cls", "half_width", "line_id"]
+    each = O.total(O.union(O.fragments(LY.transport_constraint(lines), keys, 200.0), keys, 200.0), keys)
+    return each.groupBy("cls", "half_width").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 2).alias("area_m2"))
 
 
 @query(
@@ -500,8 +507,8 @@ def m30(t):
     k = F.col("p_partkey")
     base = (F.floor(k / 50) * 50).alias("p_partkey")
     sites = t.part.select(base).distinct()
-    subs = B.points(sites, "p_partkey", F.concat_ws(" ", pick("p_partkey", PLACES), F.col("p_partkey").cast("string")).alias("name"), F.lit("132000;33000").alias("volts")).withColumnRenamed("id", "sub_id")
-    queue = t.part.withColumn("base", F.floor(k / 50) * 50).select(k.alias("q_id"), F.concat_ws(" ", pick("base", PLACES), F.col("base").cast("string"), F.lit("400kV substation")).alias("site"), F.col("p_size").cast("long").alias("mw"))
+    subs = B.points(sites, "p_partkey", F.concat(pick("p_partkey", PLACES), F.lit(" unit"), F.col("p_partkey")).alias("name"), F.lit("132000;33000").alias("volts")).withColumnRenamed("id", "sub_id")
+    queue = t.part.withColumn("base", F.floor(k / 50) * 50).select(k.alias("q_id"), F.concat(pick("base", PLACES), F.lit(" unit"), F.col("base"), F.lit(" 400kV substation")).alias("site"), F.col("p_size").cast("long").alias("mw"))
     return LY.energy_layer(cut_lineage(subs), queue, rings(B.areas(t), "area_id"), BIG)[1]
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from landgauge.functions import classify as C
 from landgauge.functions import clean as N
 from landgauge.operators import aggregates as A
-from landgauge.operators import cells as K
 from landgauge.operators import linkage as L
+from landgauge.operators import overlay as O
 from landgauge.operators import spatial as S
 from landgauge.operators.filters import BOUNDS, clean_sales, plausible, require_rows
 from landgauge.operators.ranking import many_ranks, ordinal_pct, rank_top
@@ -106,18 +106,14 @@ def tag_stations(stations: DataFrame, areas: DataFrame, gva: DataFrame, ruc: Dat
     return tagged.withColumn("regime", C.ruc_regime(F.col("ruc_name"), F.col("ruc_code"))).withColumn("well_connected", C.well_connected(F.col("meets_frequency"), F.col("area_rank"), top))
 
 
-def transport_constraint(lines: DataFrame, cell: float) -> DataFrame:
-    """kind, cx, cy: road and rail centre-line cells grown by each class's half width.
+def transport_constraint(lines: DataFrame) -> DataFrame:
+    """kind, line_id, cls, half_width, rings: what lies within each class's half width of road and rail centre lines.
 
-    `lines` line_id, cls, is_rail, x1, y1, x2, y2.
+    `lines` line_id, cls, is_rail, x1, y1, x2, y2. Shapes of one line overlap; overlay.union counts that once.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / (cell / 2)).cast("int"))
-    at = F.explode(F.sequence(F.lit(0), n)).alias("_i")
-    pts = lines.select(C.half_width(F.col("cls"), F.col("is_rail")).alias("r"), "x1", "y1", "x2", "y2", n.alias("_n"), at)
-    frac = F.col("_i") / F.col("_n")
-    pts = pts.select("r", (F.col("x1") + (F.col("x2") - F.col("x1")) * frac).alias("px"), (F.col("y1") + (F.col("y2") - F.col("y1")) * frac).alias("py"))
-    grown = K.disc_cells(pts, [], F.col("px"), F.col("py"), F.col("r") + cell / 2, cell)
-    return grown.distinct().withColumn("kind", F.lit("transport"))
+    point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    drawn = lines.select("line_id", "cls", C.half_width(F.col("cls"), F.col("is_rail")).cast("double").alias("half_width"), F.array(F.array(point("x1", "y1"), point("x2", "y2"))).alias("rings"))
+    return O.standoff(drawn, ["line_id", "cls", "half_width"], F.col("half_width")).withColumn("kind", F.lit("transport"))
 
 
 def planning_layer(areas: DataFrame, rents: DataFrame, rates: DataFrame, stock: DataFrame, ratio: DataFrame) -> DataFrame:
