@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from landgauge.catalog.clean import pick, sql_pick
 from landgauge.catalog.registry import query
 from landgauge.functions import classify as C
+from landgauge.plans import layers as LY
 
 
 def q(text: str) -> str:
@@ -99,11 +100,10 @@ LOW_VALUE_SQL = """case k when 0 then case when area>=15000 and big then 'osm_re
 )
 def c05(t):
     tag_sets = t.spark.createDataFrame(list(enumerate(TAGS)), "k bigint, tags map<string,string>")
-    hit = C.classify_low_value(F.col("tags"), F.col("l_extendedprice"), F.col("l_quantity") > 20, F.col("l_quantity") > 35)
+    sites = t.lineitem.withColumn("k", F.col("l_partkey") % 21).join(F.broadcast(tag_sets), "k")
+    labelled = LY.label_low_value(sites, F.col("tags"), F.col("l_extendedprice"), F.col("l_quantity") > 20, F.col("l_quantity") > 35)
     return (
-        t.lineitem.withColumn("k", F.col("l_partkey") % 21)
-        .join(F.broadcast(tag_sets), "k")
-        .withColumn("label", F.coalesce(hit, F.lit("none")))
+        labelled.withColumn("label", F.coalesce("label", F.lit("none")))
         .groupBy("label")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("area_m2"))
     )

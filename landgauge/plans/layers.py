@@ -153,6 +153,19 @@ def buildings_layer(df: DataFrame, tags: str, key: str) -> DataFrame:
     return df.select(key, h.alias("height_m"), s.alias("storeys")).withColumn("height_class", C.height_class(F.col("height_m")))
 
 
+def label_low_value(df: DataFrame, tags: Column, area: Column, near: Column, big: Column) -> DataFrame:
+    """Adds label, C.classify_low_value of every row; the rules run once per different set of the tags they look at."""
+    told = F.map_filter(F.coalesce(tags, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*C.LOW_VALUE_KEYS) & v.isNotNull())
+    keyed = df.withColumn("_set", F.array_sort(F.map_entries(told)))
+    # of a site's size and parking only two answers matter, so a set has four cases
+    cases = keyed.select("_set").distinct().select("_set", F.map_from_entries("_set").alias("_tags"), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("_case"))
+    facts = C.low_value_facts(F.col("_tags"), F.col("_case") % 2 == 1, F.col("_case") >= 2)
+    known = cut_lineage(cases.withColumns({f"_{name}": fact for name, fact in facts.items()}))
+    labelled = known.select("_set", "_case", C.low_value_label(F.col("_tags"), {name: F.col(f"_{name}") for name in facts}).alias("label"))
+    case = C.is_shed(area, near).cast("int") + 2 * C.is_district(area, big).cast("int")
+    return keyed.withColumn("_case", case).join(cut_lineage(labelled), ["_set", "_case"]).drop("_set", "_case")
+
+
 def low_value_layer(features: DataFrame, parking: DataFrame) -> DataFrame:
     """id, dataset, subtype, area of low-value land. `features` id, tags, area, x, y; `parking` x, y, area."""
     big_enough = features.filter(F.col("area") >= C.MIN_SITE_M2)
@@ -160,9 +173,8 @@ def low_value_layer(features: DataFrame, parking: DataFrame) -> DataFrame:
     near = S.has_within(big_enough, lots.filter(F.col("lot") >= C.SHED_PARKING_M2), C.SHED_PARKING_R, "id", ("x", "y"), ("cx0", "cy0")).withColumn("near", F.lit(True))
     big = S.has_within(big_enough, lots.filter(F.col("lot") >= C.DISTRICT_PARKING_M2), C.DISTRICT_PARKING_R, "id", ("x", "y"), ("cx0", "cy0")).withColumn("big", F.lit(True))
     flagged = big_enough.join(near, "id", "left").join(big, "id", "left").na.fill(False, ["near", "big"])
-    label = C.classify_low_value(F.col("tags"), F.col("area"), F.col("near"), F.col("big"))
     parts = F.split("label", "/")
-    return flagged.withColumn("label", label).filter(F.col("label").isNotNull()).select("id", parts[0].alias("dataset"), parts[1].alias("subtype"), "area")
+    return label_low_value(flagged, F.col("tags"), F.col("area"), F.col("near"), F.col("big")).filter(F.col("label").isNotNull()).select("id", parts[0].alias("dataset"), parts[1].alias("subtype"), "area")
 
 
 def office_values(lines: DataFrame, postcodes: DataFrame, min_rows: int) -> DataFrame:
