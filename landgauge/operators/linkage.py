@@ -19,8 +19,9 @@ def join_area(df: DataFrame, areas: DataFrame, on: str, cols: Sequence[str]) ->
 
 
 def id_or_name(a: DataFrame, b: DataFrame, id_col: str, name: str, value: Sequence[str]) -> DataFrame:
-    """Match on id, then on a normalised name that is unique in b; adds `matched_by`."""
-    by_id = b.select(F.col(id_col), *[F.col(v).alias(f"_i_{v}") for v in value], F.lit(True).alias("_hit_id"))
+    """Match on id, then on a normalised name that is unique in b; adds `matched_by`. Of several rows of one id the least values count."""
+    one = b.groupBy(id_col).agg(F.min(F.struct(*value)).alias("_r"))
+    by_id = one.select(F.col(id_col), *[F.col(f"_r.{v}").alias(f"_i_{v}") for v in value], F.lit(True).alias("_hit_id"))
     unique = b.groupBy(name).agg(F.count(F.lit(1)).alias("_k"), *[F.first(v).alias(f"_n_{v}") for v in value]).filter("_k = 1")
     out = a.join(by_id, id_col, "left").join(unique.withColumn("_hit_name", F.lit(True)).drop("_k"), name, "left")
     how = F.when(F.col("_hit_id"), "id").when(F.col("_hit_name"), "name").otherwise("unmatched")

@@ -36,6 +36,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="landgauge-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -42,12 +42,12 @@ def read_delimited(
     """Canonical string columns from tab- or comma-separated files with preamble rows.
 
     The header is the first line in which the first canonical column is found,
-    however many lines stand before it; files without one (HTML error pages) give no rows. Only
+    however many lines and splits of the file stand before it; files without one (HTML error pages) give no rows. Only
     the few distinct header lines reach the driver. One record per line.
     """
     lines = read_lines(spark, path)
     first_names = next(iter(columns.values()))
-    top = lines.filter(F.col("block") == 0)
+    place = F.struct("block", "pos")
     lowered = F.lower("line")
     wanted = F.lit(False)
     for name in first_names:
@@ -55,9 +55,9 @@ def read_delimited(
     is_table = ~F.ltrim("line").startswith("<")
     sep = F.when(F.contains("line", F.lit("\t")), "\t").otherwise(",")
     head = (
-        top.filter(wanted & is_table & (F.size(F.split("line", "[\t,]")) > 1))
+        lines.filter(wanted & is_table & (F.size(F.split("line", "[\t,]")) > 1))
         .groupBy("file")
-        .agg(F.min("pos").alias("_at"), F.min_by("line", "pos").alias("_head"), F.min_by(sep, "pos").alias("_sep"))
+        .agg(F.min(place).alias("_at"), F.min_by("line", place).alias("_head"), F.min_by(sep, place).alias("_sep"))
     )
     parts = []
     for row in head.select("_head", "_sep").distinct().collect():
@@ -67,9 +67,7 @@ def read_delimited(
             continue
         schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
         mine = head.filter((F.col("_head") == row["_head"]) & (F.col("_sep") == row["_sep"]))
-        body = lines.join(F.broadcast(mine.select("file", "_at")), "file").filter(
-            ((F.col("block") > 0) | (F.col("pos") > F.col("_at"))) & (F.trim("line") != "")
-        )
+        body = lines.join(mine.select("file", "_at"), "file").filter((place > F.col("_at")) & (F.trim("line") != ""))
         parsed = body.select(F.from_csv("line", schema, {"sep": row["_sep"], "mode": "PERMISSIVE"}).alias("r"))
         parts.append(
             parsed.select(
